@@ -223,5 +223,5 @@ def interaction_priority(rates: DataFrame, min_gt: int = 100) -> DataFrame:
 
     The groups of a set are bounded by the attribute values, so one window per set is small.
     """
-    order = W.partitionBy("group_type").orderBy(F.desc("a_failures_rate"), F.desc("num_gt"), "group_value")
+    order = W.partitionBy("group_type").orderBy(F.desc("a_failures_rate"), "group_value")
     return rates.where(F.col("num_gt") >= min_gt).withColumn("priority_rank", F.row_number().over(order))

@@ -10,18 +10,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 
-def order_bucket(value: Column, resolution: int = 1024) -> Column:
-    """Bucket number that never decreases with the value.
+def order_bucket(value: str, resolution: int = 1024) -> str:
+    """SQL text of a bucket number that never decreases with the value.
 
     Logarithmic in magnitude: scores in [0, 1] spread over ``resolution`` buckets,
     large values over ``resolution`` per doubling.
     """
-    v = value.cast("double")
-    size = F.floor(F.log2(F.abs(v) + 1.0) * resolution)
-    return F.when(v < 0, -size - 1).otherwise(size).cast("int")
+    v = f"CAST({value} AS DOUBLE)"
+    size = f"CAST(floor(log2(abs({v}) + 1.0D) * {resolution}) AS INT)"
+    return f"CASE WHEN {v} < 0 THEN -{size} - 1 ELSE {size} END"
 
 
 def attach(df: DataFrame, per_group: DataFrame, by: list[str]) -> DataFrame:
@@ -35,53 +34,49 @@ def attach(df: DataFrame, per_group: DataFrame, by: list[str]) -> DataFrame:
 def running_sums(
     df: DataFrame,
     keys: list[str],
-    order: list[Column],
-    bucket: list[Column],
-    sums: dict[str, Column],
+    order: list[str],
+    bucket: list[str],
+    sums: dict[str, str],
 ) -> DataFrame:
     """Add inclusive running sums of ``sums`` along ``order`` inside each key.
 
-    ``bucket`` holds expressions that never decrease along ``order``.
+    Orders, buckets and summed values are SQL texts over the columns of ``df``;
+    ``bucket`` holds expressions that never decrease along ``order``. Texts keep the
+    plan cheap to build when there are dozens of sums.
     """
     marks = [f"_b{i}" for i in range(len(bucket))]
-    totals = {name: f"_t_{name}" for name in sums}
-    tagged = df
-    for mark, expr in zip(marks, bucket):
-        tagged = tagged.withColumn(mark, expr)
-    if not keys:
-        tagged = tagged.withColumn("_all", F.lit(0))
     by = keys or ["_all"]
-    earlier = W.partitionBy(*by).orderBy(*marks).rowsBetween(W.unboundedPreceding, -1)
+    columns = df.columns
+    deltas = {name: f"_d_{name}" for name in sums}
+    tagged = df.selectExpr(
+        *columns,
+        *([] if keys else ["0 AS _all"]),
+        *[f"{b} AS {m}" for b, m in zip(bucket, marks)],
+        *[f"{e} AS {deltas[n]}" for n, e in sums.items()],
+    )
+    group = ", ".join(by)
+    place = ", ".join(by + marks)
+    earlier = f"OVER (PARTITION BY {group} ORDER BY {', '.join(marks)} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     offsets = (
         tagged.groupBy(*by, *marks)
-        .agg(*[F.sum(expr).alias(totals[name]) for name, expr in sums.items()])
-        .select(
-            *by,
-            *marks,
-            *[F.coalesce(F.sum(t).over(earlier), F.lit(0)).alias(t) for t in totals.values()],
-        )
-    )
-    local = W.partitionBy(*by, *marks).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    summed = tagged.select(
-        "*", *[F.sum(expr).over(local).alias(name) for name, expr in sums.items()]
-    )
-    left = summed.alias("s")
-    right = offsets.alias("f")
-    on = [F.col(f"s.{c}").eqNullSafe(F.col(f"f.{c}")) for c in by + marks]
-    return left.join(right, on, "left").select(
-        *[F.col(f"s.{c}") for c in df.columns],
-        *[
-            (F.col(f"s.{name}") + F.coalesce(F.col(f"f.{t}"), F.lit(0))).alias(name)
-            for name, t in totals.items()
-        ],
+        .agg(*[F.expr(f"sum({d}) AS {d}") for d in deltas.values()])
+        .selectExpr(*by, *marks, *[f"coalesce(sum({d}) {earlier}, 0) AS _o_{n}" for n, d in deltas.items()])
     )
+    local = f"OVER (PARTITION BY {place} ORDER BY {', '.join(order)} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    summed = tagged.selectExpr(*columns, *([] if keys else ["_all"]), *marks, *[f"sum({d}) {local} AS {n}" for n, d in deltas.items()])
+    right = offsets.withColumnsRenamed({c: f"_r{c}" for c in by + marks})
+    on = None
+    for c in by + marks:
+        same = summed[c].eqNullSafe(right[f"_r{c}"])
+        on = same if on is None else on & same
+    return summed.join(right, on, "left").selectExpr(*columns, *[f"{n} + _o_{n} AS {n}" for n in sums])
 
 
 def value_counts_before(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Distinct (by, value) with ``cnt`` copies and ``upto`` rows at or below the value."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("cnt"))
     return running_sums(
-        counts, by, [F.col(value)], [order_bucket(F.col(value))], {"upto": F.col("cnt")}
+        counts, by, [value], [order_bucket(value)], {"upto": "cnt"}
     )
 
 
@@ -156,10 +151,4 @@ def distribution(
 
 def global_position(df: DataFrame, value: str, tie: str, name: str = "position") -> DataFrame:
     """1-based position of every row in the order (value, tie) over the whole table."""
-    return running_sums(
-        df,
-        [],
-        [F.col(value), F.col(tie)],
-        [order_bucket(F.col(value))],
-        {name: F.lit(1)},
-    )
+    return running_sums(df, [], [value, tie], [order_bucket(value)], {name: "1"})
