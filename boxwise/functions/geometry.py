@@ -44,59 +44,56 @@ def letterbox_scale(width: Column, height: Column, size: float = K.NETWORK_SIZE)
     return F.least(F.lit(size) / width, F.lit(size) / height)
 
 
-def polygon_area(polygon: Column) -> Column:
-    """Shoelace area of a flat [x0, y0, x1, y1, ...] polygon; under 3 points gives 0."""
-    n = (F.size(polygon) / 2).cast("int")
+def _edges(polygon: Column) -> Column:
+    """Edges {ax, ay, bx, by} of a flat [x0, y0, x1, y1, ...] polygon, closed."""
+    n = F.size(polygon)
+    return F.transform(
+        F.sequence(F.lit(0), (n / 2).cast("int") - 1),
+        lambda i: F.struct(
+            F.get(polygon, i * 2).alias("ax"),
+            F.get(polygon, i * 2 + 1).alias("ay"),
+            F.get(polygon, (i * 2 + 2) % n).alias("bx"),
+            F.get(polygon, (i * 2 + 3) % n).alias("by"),
+        ),
+    )
 
-    def cross(i: Column) -> Column:
-        j = (i + 1) % n
-        x0, y0 = F.get(polygon, i * 2), F.get(polygon, i * 2 + 1)
-        x1, y1 = F.get(polygon, j * 2), F.get(polygon, j * 2 + 1)
-        return x0 * y1 - x1 * y0
 
+def polygon_area(polygon: Column) -> Column:
+    """Shoelace area; under three points gives 0."""
     total = F.aggregate(
-        F.transform(F.sequence(F.lit(0), n - 1), cross), F.lit(0.0), lambda acc, v: acc + v
+        _edges(polygon), F.lit(0.0), lambda acc, e: acc + (e["ax"] * e["by"] - e["bx"] * e["ay"])
     )
-    return F.when(n >= 3, F.abs(total) / 2).otherwise(F.lit(0.0))
+    return F.when(F.size(polygon) >= 6, F.abs(total) / 2).otherwise(F.lit(0.0))
 
 
-def _clip_edge(polygon: Column, axis: int, bound: Column, keep_greater: bool) -> Column:
-    """Cut a polygon (array of {x, y}) by one axis-parallel half plane."""
-    n = F.size(polygon)
-    key = "x" if axis == 0 else "y"
-
-    def inside(p: Column) -> Column:
-        return p[key] >= bound if keep_greater else p[key] <= bound
-
-    def emit(point: Column, i: Column) -> Column:
-        nxt = F.get(polygon, (i + 1) % n)
-        span = nxt[key] - point[key]
-        t = (bound - point[key]) / span
-        cut = F.struct(
-            (point["x"] + t * (nxt["x"] - point["x"])).alias("x"),
-            (point["y"] + t * (nxt["y"] - point["y"])).alias("y"),
+def clipped_area(polygon: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Area of a polygon inside a box, as a signed sum over its edges.
+
+    Each edge adds the integral, over its stretch of x inside the box, of its height
+    above y0 limited to the box; the closed form needs no clipped polygon.
+    """
+
+    def stretch(e: Column) -> Column:
+        xa, xb = clamp(e["ax"], x0, x1), clamp(e["bx"], x0, x1)
+        slope = F.when(e["ax"] == e["bx"], F.lit(0.0)).otherwise((e["by"] - e["ay"]) / (e["bx"] - e["ax"]))
+        return F.struct(
+            (xb - xa).alias("dx"),
+            (e["ay"] + (xa - e["ax"]) * slope - y0).alias("ha"),
+            (e["ay"] + (xb - e["ax"]) * slope - y0).alias("hb"),
         )
-        here = F.struct(point["x"].alias("x"), point["y"].alias("y"))
-        none = F.filter(F.array(here), lambda _: F.lit(False))
-        kept = F.when(inside(point), F.array(here)).otherwise(none)
-        crossing = F.when(inside(point) != inside(nxt), F.array(cut)).otherwise(none)
-        return F.concat(kept, crossing)
-
-    return F.flatten(F.transform(polygon, emit))
-
-
-def clip_polygon(polygon: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """Clip a flat polygon by a box: four half-plane cuts, result stays flat."""
-    n = (F.size(polygon) / 2).cast("int")
-    points = F.when(
-        n >= 1,
-        F.transform(
-            F.sequence(F.lit(0), n - 1),
-            lambda i: F.struct(
-                F.get(polygon, i * 2).alias("x"), F.get(polygon, i * 2 + 1).alias("y")
-            ),
-        ),
+
+    tall = y1 - y0
+
+    def primitive(h: Column) -> Column:
+        inside = clamp(h, F.lit(0.0), tall)
+        return inside * inside / 2 + F.greatest(h - tall, F.lit(0.0)) * tall
+
+    def integral(s: Column) -> Column:
+        rise = s["hb"] - s["ha"]
+        level = clamp((s["ha"] + s["hb"]) / 2, F.lit(0.0), tall) * s["dx"]
+        return F.when(F.abs(rise) < 1e-9, level).otherwise((primitive(s["hb"]) - primitive(s["ha"])) / rise * s["dx"])
+
+    total = F.aggregate(
+        F.transform(_edges(polygon), stretch), F.lit(0.0), lambda acc, s: acc + integral(s)
     )
-    for axis, bound, greater in ((0, x0, True), (0, x1, False), (1, y0, True), (1, y1, False)):
-        points = _clip_edge(points, axis, bound, greater)
-    return F.flatten(F.transform(points, lambda p: F.array(p["x"], p["y"])))
+    return F.when((F.size(polygon) >= 6) & (tall > 0) & (x1 > x0), F.abs(total)).otherwise(F.lit(0.0))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxwise import constants as K
-from boxwise.functions.geometry import clip_polygon, polygon_area
+from boxwise.functions.geometry import clipped_area, polygon_area
 from boxwise.functions.labels import evidence_grade, failure_taxonomy, first_true
 from boxwise.operators.matching import greedy_from_pairs, hot_images, iou_pairs
 
@@ -29,7 +29,7 @@ def polygon_support(df: DataFrame) -> DataFrame:
             usable,
             lambda p: F.struct(
                 polygon_area(p).alias("area"),
-                polygon_area(clip_polygon(p, x, y, x + w, y + h)).alias("inside"),
+                clipped_area(p, x, y, x + w, y + h).alias("inside"),
             ),
         ),
         lambda q: q["area"] > 0,
