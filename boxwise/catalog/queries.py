@@ -476,21 +476,21 @@ def _(v):
 
 
 _EVENTS = "(SELECT d.prediction_index, d.category_id, d.score, CASE WHEN g.prediction_index IS NULL THEN 0 ELSE 1 END AS is_tp FROM d_a d LEFT JOIN (" + O.greedy_sql("pairs_a", "image_id, gc", 0.5, where="gc = dc") + ") g USING (prediction_index))"
-O.cte("events", "d_a pairs_a", f"SELECT * FROM {_EVENTS}")
+O.cte("det_events", "d_a pairs_a", f"SELECT * FROM {_EVENTS}")
 _PRF = """SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM (SELECT *, gt - tp AS fn, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN gt > 0 THEN tp / gt ELSE 0 END AS recall, gt >= 100 AS eligible FROM (
- SELECT category_id, coalesce(gt, 0) AS gt, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp FROM (SELECT category_id, count(*) AS gt FROM objects GROUP BY 1) FULL JOIN (SELECT category_id, sum(is_tp) AS tp, sum(1 - is_tp) AS fp FROM events GROUP BY 1) USING (category_id)))"""
+ SELECT category_id, coalesce(gt, 0) AS gt, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp FROM (SELECT category_id, count(*) AS gt FROM objects GROUP BY 1) FULL JOIN (SELECT category_id, sum(is_tp) AS tp, sum(1 - is_tp) AS fp FROM det_events GROUP BY 1) USING (category_id)))"""
 _MACRO = """SELECT *, CASE WHEN micro_precision + micro_recall > 0 THEN 2 * micro_precision * micro_recall / (micro_precision + micro_recall) ELSE 0 END AS micro_f1 FROM (
  SELECT {keys} avg(precision) FILTER (WHERE eligible) AS macro_precision, avg(recall) FILTER (WHERE eligible) AS macro_recall, avg(f1) FILTER (WHERE eligible) AS macro_f1, sum(tp) AS total_tp, sum(fp) AS total_fp, sum(fn) AS total_fn,
  CASE WHEN sum(tp) + sum(fp) > 0 THEN sum(tp) / (sum(tp) + sum(fp)) ELSE 0 END AS micro_precision, CASE WHEN sum(gt) > 0 THEN sum(tp) / sum(gt) ELSE 0 END AS micro_recall FROM ({rows}) GROUP BY ALL)"""
 _MACRO_SPEC = "macro_precision:d macro_recall:d macro_f1:d micro_precision:d micro_recall:d micro_f1:d total_tp:i total_fp:i total_fn:i"
 
 
-@query("agg15_prf_per_class", "category_id:i gt:i tp:i fp:i fn:i precision:d recall:d f1:d eligible:b", "objects events", _PRF)
+@query("agg15_prf_per_class", "category_id:i gt:i tp:i fp:i fn:i precision:d recall:d f1:d eligible:b", "objects det_events", _PRF)
 def _(v):
     return C.prf_per_class(v.events, v.gt_counts)
 
 
-@query("agg15_prf", _MACRO_SPEC, "objects events", _MACRO.format(keys="", rows=_PRF))
+@query("agg15_prf", _MACRO_SPEC, "objects det_events", _MACRO.format(keys="", rows=_PRF))
 def _(v):
     return C.prf(v.events, v.gt_counts)
 

@@ -1,7 +1,6 @@
 """Shared inputs of the registered queries, derived by Spark from the star-schema tables.
 
-Views used by many queries are persisted once per session and folder; lost blocks
-are recomputed from the tables.
+Views used by many queries are written once per session to the shared folder.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 from boxwise import constants as K
 from boxwise.functions.geometry import scale_of
+from boxwise.session import materialize
 from boxwise.operators import calibrate, crops, matching, precision, risk, sampling, segments
 from boxwise.sources import fixtures
 
@@ -34,17 +34,19 @@ class Views:
     @cached_property
     def objects(self) -> DataFrame:
         o = fixtures.objects(self.spark, self.folder)
-        return o.withColumns(
-            {
-                "scale": scale_of(F.col("area")),
-                "occluded": F.col("rn") % 3 == 0,
-                "truncated": F.col("rn") % 5 == 0,
-            }
-        ).persist()
+        return materialize(
+            o.withColumns(
+                {
+                    "scale": scale_of(F.col("area")),
+                    "occluded": F.col("rn") % 3 == 0,
+                    "truncated": F.col("rn") % 5 == 0,
+                }
+            )
+        )
 
     @cached_property
     def dets(self) -> dict[str, DataFrame]:
-        return {m: fixtures.detections(self.spark, self.folder, m, self.objects).persist() for m in SCORES}
+        return {m: materialize(fixtures.detections(self.spark, self.folder, m, self.objects)) for m in SCORES}
 
     @cached_property
     def hot(self) -> DataFrame | None:
@@ -54,13 +56,13 @@ class Views:
     @cached_property
     def status(self) -> dict[str, DataFrame]:
         return {
-            m: matching.object_status(self.objects, self.dets[m], t, hot=self.hot, keep=["scale"]).persist()
+            m: materialize(matching.object_status(self.objects, self.dets[m], t, hot=self.hot, keep=["scale"]))
             for m, t in SCORES.items()
         }
 
     @cached_property
     def false_positives(self) -> dict[str, DataFrame]:
-        return {m: matching.false_positives(self.objects, self.dets[m], t, hot=self.hot) for m, t in SCORES.items()}
+        return {m: materialize(matching.false_positives(self.objects, self.dets[m], t, hot=self.hot)) for m, t in SCORES.items()}
 
     @cached_property
     def wide(self) -> DataFrame:
@@ -68,7 +70,7 @@ class Views:
 
     @cached_property
     def risk(self) -> DataFrame:
-        return risk.risk_table(self.wide, SCORES).persist()
+        return materialize(risk.risk_table(self.wide, SCORES))
 
     @cached_property
     def segs(self) -> DataFrame:
@@ -82,25 +84,25 @@ class Views:
 
     @cached_property
     def evidence(self) -> DataFrame:
-        return segments.segment_evidence(self.objects, self.segs)
+        return materialize(segments.segment_evidence(self.objects, self.segs, hot=self.hot))
 
     @cached_property
     def tax(self) -> DataFrame:
         named = segments.with_taxonomy(self.wide, self.evidence)
         name = F.create_map(*[F.lit(v) for kv in K.CATEGORIES.items() for v in kv])
-        return (
-            named.join(self.images.select("image_id", "timeofday", "weather", "scene"), "image_id")
-            .withColumn("category", F.element_at(name, F.col("category_id")))
-            .persist()
+        return materialize(
+            named.join(self.images.select("image_id", "timeofday", "weather", "scene"), "image_id").withColumn(
+                "category", F.element_at(name, F.col("category_id"))
+            )
         )
 
     @cached_property
     def cache(self) -> dict[str, DataFrame]:
-        return {m: precision.match_cache(self.objects, d, hot=self.hot).persist() for m, d in self.dets.items()}
+        return {m: materialize(precision.match_cache(self.objects, d, hot=self.hot)) for m, d in self.dets.items()}
 
     @cached_property
     def events(self) -> DataFrame:
-        return calibrate.detection_events(self.objects, self.dets["a"]).persist()
+        return materialize(calibrate.detection_events(self.objects, self.dets["a"], hot=self.hot))
 
     @cached_property
     def gt_counts(self) -> DataFrame:
@@ -118,11 +120,11 @@ class Views:
         image = self.images.where("split = 'core'").select("image_id", "width", "height")
         columns = ["annotation_id", "image_id", "category_id", "failure_group", "risk_score"]
         targets = grouped.select(*columns).join(box, "annotation_id").join(image, "image_id")
-        return crops.plan_crops(targets).persist()
+        return materialize(crops.plan_crops(targets))
 
     @cached_property
     def context(self) -> DataFrame:
-        return crops.crop_context(self.crops, self.objects).persist()
+        return materialize(crops.crop_context(self.crops, self.objects))
 
     @cached_property
     def exposure(self) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -188,6 +190,5 @@ def views(spark: SparkSession, folder: str) -> Views:
 
 
 def close(spark: SparkSession) -> None:
-    """Forget and unpersist every shared view."""
+    """Forget every shared view, so that the next query starts from the tables."""
     _OPEN.clear()
-    spark.catalog.clearCache()

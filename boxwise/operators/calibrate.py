@@ -10,10 +10,12 @@ from boxwise.operators.matching import greedy_match
 from boxwise.operators.ranking import attach, order_bucket, running_sums
 
 
-def detection_events(objects: DataFrame, dets: DataFrame, min_iou: float = K.MATCH_IOU) -> DataFrame:
+def detection_events(
+    objects: DataFrame, dets: DataFrame, min_iou: float = K.MATCH_IOU, hot: DataFrame | None | str = "check"
+) -> DataFrame:
     """(category, score, is_tp) of every detection above the score floor, matched greedily."""
     usable = dets.where(F.col("score") >= K.SCORE_FLOOR)
-    hits = greedy_match(objects, usable, min_iou).select("prediction_index", F.lit(1).alias("_hit"))
+    hits = greedy_match(objects, usable, min_iou, hot=hot).select("prediction_index", F.lit(1).alias("_hit"))
     return usable.join(hits, "prediction_index", "left").select(
         "prediction_index", "category_id", "score", F.coalesce("_hit", F.lit(0)).alias("is_tp")
     )

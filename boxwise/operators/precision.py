@@ -16,6 +16,7 @@ from boxwise import constants as K
 from boxwise.operators.matching import _box_join, _object_side, _pair_iou, hot_images, iou_pairs, topk_detections
 from boxwise.operators.ranking import order_bucket, running_sums
 from boxwise.operators.risk import MACRO_SUBSETS
+from boxwise.session import materialize
 
 THRESHOLDS = len(K.IOU_THRESHOLDS)
 CELLS = THRESHOLDS * len(K.AREA_RANGES)
@@ -247,13 +248,13 @@ def summarize(cells: DataFrame, by: list[str]) -> DataFrame:
 
 def coco_eval(objects: DataFrame, dets: DataFrame, cache: DataFrame | None = None) -> DataFrame:
     """One row with AP, AP50, AP75, AP and AR by area, AR1, AR10, AR100."""
-    cache = cache if cache is not None else match_cache(objects, dets).persist()
+    cache = cache if cache is not None else materialize(match_cache(objects, dets))
     return summarize(evaluate_cells(cache, object_counts(objects), []), [])
 
 
 def coco_eval_per_class(objects: DataFrame, dets: DataFrame, cache: DataFrame | None = None) -> DataFrame:
     """AP, AP50, AP75, AR100 per class with object, detection and image counts."""
-    cache = cache if cache is not None else match_cache(objects, dets).persist()
+    cache = cache if cache is not None else materialize(match_cache(objects, dets))
     cells = evaluate_cells(cache, object_counts(objects), []).where(F.col("area") == 0)
     scored = summarize(cells, ["category_id"]).select("category_id", "AP", "AP50", "AP75", "AR100")
 
@@ -273,7 +274,7 @@ def coco_eval_by_condition(
     objects: DataFrame, dets: DataFrame, images: DataFrame, min_images: int = 100, cache: DataFrame | None = None
 ) -> DataFrame:
     """Metrics per attribute value, with delta and retention of AP against the whole set."""
-    cache = cache if cache is not None else match_cache(objects, dets).persist()
+    cache = cache if cache is not None else materialize(match_cache(objects, dets))
     overall = F.struct(F.lit("overall").alias("dimension"), F.lit("all").alias("value"))
     dims = [F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in ("timeofday", "weather", "scene")]
     member = images.select("image_id", F.inline(F.array(overall, *dims)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from boxwise import constants as K
 from boxwise.functions import risk as R
 from boxwise.operators.ranking import attach, mid_percentile, quantiles
+from boxwise.session import materialize
 
 
 def risk_table(wide: DataFrame, thresholds=None, macro_f1=None, float32: bool = False) -> DataFrame:
@@ -28,6 +29,8 @@ def risk_table(wide: DataFrame, thresholds=None, macro_f1=None, float32: bool =
     consensus, disagreement, joint = R.joint_risk(F.col("a_quality"), F.col("b_quality"), macro_f1)
     joint = joint.cast("float").cast("double") if float32 else joint
     v = v.withColumns({"consensus_risk": consensus, "disagreement": disagreement, "joint_raw_risk": joint})
+    # The ranks read this table several times: the match behind it must run once.
+    v = materialize(v)
     v = mid_percentile(v, "joint_raw_risk", [], "global_percentile")
     v = mid_percentile(v, "joint_raw_risk", ["category_id"], "class_percentile")
     n = v.groupBy("category_id").agg(F.count("*").alias("class_count"))

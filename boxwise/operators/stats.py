@@ -10,6 +10,7 @@ from boxwise import constants as K
 from boxwise.functions.hashing import hash_uniform, little_endian_seed
 from boxwise.operators.precision import evaluate_cells, object_counts, summarize
 from boxwise.operators.ranking import attach, quantiles, running_sums
+from boxwise.session import materialize
 
 
 def bootstrap_weights(images: DataFrame, replicates: int, first: int = 0, seed=K.BOOTSTRAP_SEED) -> DataFrame:
@@ -63,7 +64,7 @@ def paired_bootstrap(
     objects: DataFrame, images: DataFrame, caches: dict[str, DataFrame], reference: str, replicates: int, first: int = 0
 ) -> DataFrame:
     """Per-replicate metric deltas of every model against the reference, same weights for all."""
-    weights = bootstrap_weights(images, replicates, first).persist()
+    weights = materialize(bootstrap_weights(images, replicates, first))
     counts = object_counts(objects)
     base = bootstrap_metrics(caches[reference], counts, weights)
     out = None

@@ -1,7 +1,8 @@
 """File readers: box documents, label records, detections, id sets, label text, tables.
 
 A JSON document is one record to Spark and so one task; read such a file once and
-write it to Parquet before heavy use.
+write it to Parquet before heavy use. Readers also take one document per line, which
+splits over tasks.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ def _box(col: str):
     return [F.get(F.col(col), i).alias(n) for i, n in enumerate("xywh")]
 
 
-def read_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def read_coco(spark: SparkSession, path: str, multiline: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(images, objects, categories) of one annotation document."""
-    doc = spark.read.schema(_COCO).json(path, multiLine=True, mode="FAILFAST")
+    doc = spark.read.schema(_COCO).json(path, multiLine=multiline, mode="FAILFAST")
     attribute = lambda n: F.coalesce(F.nullif(F.trim(F.col(f"attributes.{n}")), F.lit("")), F.lit("undefined")).alias(n)
     images = doc.select(F.inline("images")).select(
         F.col("id").alias("image_id"), "file_name", "width", "height", *[attribute(n) for n in ("weather", "scene", "timeofday")]
@@ -45,9 +46,9 @@ labels array<struct<id: string, category: string, box2d: struct<x1: double, y1:
 """
 
 
-def read_box_labels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_box_labels(spark: SparkSession, path: str, multiline: bool = True) -> tuple[DataFrame, DataFrame]:
     """(images, labelled corner boxes) of a list of per-image label records."""
-    records = spark.read.schema(_BOX_LABELS).json(path, multiLine=True, mode="FAILFAST")
+    records = spark.read.schema(_BOX_LABELS).json(path, multiLine=multiline, mode="FAILFAST")
     images = records.select("name", *[f"attributes.{n}" for n in ("weather", "scene", "timeofday")])
     label = records.select("name", F.posexplode("labels").alias("label_index", "l")).where(F.col("l.box2d").isNotNull())
     boxes = label.select(
@@ -65,12 +66,12 @@ objects array<struct<id: bigint, classTitle: string, geometryType: string,
 """
 
 
-def read_polygon_labels(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def read_polygon_labels(spark: SparkSession, folder: str, multiline: bool = True) -> tuple[DataFrame, DataFrame]:
     """(images, rectangle objects) of a folder with one annotation file per image.
 
     The ``attributes`` tag of an object may be a Python dict literal; flags are read by pattern.
     """
-    records = spark.read.schema(_POLYGON_LABELS).json(folder, multiLine=True).withColumn("file", F.input_file_name())
+    records = spark.read.schema(_POLYGON_LABELS).json(folder, multiLine=multiline).withColumn("file", F.input_file_name())
     tag = lambda col, n: F.get(F.filter(F.col(col), lambda t: t["name"] == n), F.lit(0))["value"]
     images = records.select("file", "size.width", "size.height", *[tag("tags", n).alias(n) for n in ("weather", "scene", "timeofday")])
     o = records.select("file", F.posexplode("objects").alias("object_index", "o")).select("file", "object_index", "o.*")
@@ -78,16 +79,16 @@ def read_polygon_labels(spark: SparkSession, folder: str) -> tuple[DataFrame, Da
     flag = lambda n: F.lower(F.regexp_extract(F.coalesce(tag("tags", "attributes"), F.lit("")), rf"(?i)['\"]{n}['\"]\s*:\s*(true|false)", 1)) == "true"
     point = lambda i, j: F.get(F.get(F.col("points.exterior"), F.lit(i)), F.lit(j))
     objects = rect.select(
-        "file", "object_index", F.col("classTitle").alias("category"),
+        "file", "object_index", F.col("id").alias("object_id"), F.col("classTitle").alias("category"),
         point(0, 0).alias("x1"), point(0, 1).alias("y1"), point(1, 0).alias("x2"), point(1, 1).alias("y2"),
         flag("occluded").alias("occluded"), flag("truncated").alias("truncated"),
     )
     return images, objects
 
 
-def read_detections(spark: SparkSession, path: str, model: str) -> DataFrame:
+def read_detections(spark: SparkSession, path: str, model: str, one_per_line: bool = False) -> DataFrame:
     """Detections of a bare list or {"predictions": [...]}; the list position is kept."""
-    text = spark.read.text(path, wholetext=True)
+    text = spark.read.text(path, wholetext=not one_per_line)
     listed = F.from_json("value", f"array<{_DETECTION}>")
     named = F.from_json("value", f"predictions array<{_DETECTION}>")["predictions"]
     rows = F.when(F.ltrim("value").startswith("["), listed).otherwise(named)
@@ -116,10 +117,10 @@ def read_norm_labels(spark: SparkSession, folder: str) -> DataFrame:
 ID_LIST_NAMES = ("image_ids", "annotation_ids", "ids", "train_core_image_ids", "train_dev_image_ids")
 
 
-def read_id_set(spark: SparkSession, path: str, name: str = "image_id") -> DataFrame:
+def read_id_set(spark: SparkSession, path: str, name: str = "image_id", one_per_line: bool = False) -> DataFrame:
     """Ids of a bare list, a named list, or the only list of a document; elements may be {id}."""
     value = F.ltrim("value")
-    text = spark.read.text(path, wholetext=True).select(value.alias("value"))
+    text = spark.read.text(path, wholetext=not one_per_line).select(value.alias("value"))
     members = F.from_json("value", "map<string,string>")
     named = F.coalesce(*[F.try_element_at(members, F.lit(n)) for n in ID_LIST_NAMES])
     lists = F.map_values(F.map_filter(members, lambda _, v: v.startswith("[")))
