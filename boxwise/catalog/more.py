@@ -404,7 +404,7 @@ def _(v):
     return S.diverse_pick(S.case_families(_flags(v), S.FLAG_FAMILIES), 6)
 
 
-@query("smp12_probe_sample", "image_id:i annotation_id:i position:i", "objects", f"""SELECT *, row_number() OVER (ORDER BY h, annotation_id) AS position FROM (SELECT image_id, annotation_id, {_h("'probe:' || annotation_id", K.BOOTSTRAP_SEED)} AS h FROM objects QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY h, annotation_id) = 1) QUALIFY position <= 400""")
+@query("smp12_probe_sample", "image_id:i annotation_id:i position:i", "objects", f"""SELECT *, row_number() OVER (ORDER BY hx, annotation_id) AS position FROM (SELECT image_id, annotation_id, {_h("'probe:' || annotation_id", K.BOOTSTRAP_SEED)} AS hx FROM objects QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY hx, annotation_id) = 1) QUALIFY position <= 400""")
 def _(v):
     return S.probe_sample(v.objects, 400)
 

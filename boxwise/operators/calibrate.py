@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from boxwise import constants as K
 from boxwise.operators.matching import greedy_match
 from boxwise.operators.ranking import attach, order_bucket, running_sums
+from boxwise.session import materialize
 
 
 def detection_events(
@@ -111,14 +112,15 @@ def sweep_points(events: DataFrame, counts: DataFrame, min_gt: int = K.MIN_CLASS
     per_score = events.groupBy("score").agg(*[F.expr(e) for e in _class_counts()])
     renamed = per_score.withColumnsRenamed({c: f"d{c}" for c in per_score.columns if c != "score"})
     sums = {f"{k}{c}": f"d{k}{c}" for c in K.CATEGORIES for k in "tf"}
-    cum = running_sums(renamed, [], ["score DESC"], [f"-({order_bucket('score')})"], sums)
+    cum = materialize(running_sums(renamed, [], ["score DESC"], [f"-({order_bucket('score')})"], sums))
     cum = attach(cum.withColumnRenamed("score", "threshold"), _gt_row(counts), [])
     return _summarize_classes(cum, ["threshold"], min_gt)
 
 
 def threshold_sweep(events: DataFrame, counts: DataFrame, min_gt: int = K.MIN_CLASS_GT, tol: float = 1e-15) -> DataFrame:
     """The score with the best macro F1; then the best macro recall, then the highest score."""
-    points = sweep_points(events, counts, min_gt)
+    # Written once: three passes read it, and filters on derived columns stay simple.
+    points = materialize(sweep_points(events, counts, min_gt))
     best = points.agg(F.max("macro_f1").alias("_f"))
     near = attach(points, best, []).where(F.col("macro_f1") >= F.col("_f") - tol).drop("_f")
     best = near.agg(F.max("macro_recall").alias("_r"))
@@ -147,6 +149,7 @@ def threshold_grid(events: DataFrame, counts: DataFrame, chosen: float | None =
 
 def plateau(grid: DataFrame, share: float = 0.95) -> DataFrame:
     """Low, central and high threshold of the region within ``share`` of the best macro F1."""
+    grid = materialize(grid)
     top = grid.agg(F.max("macro_f1").alias("maximum"))
     v = attach(grid, top, []).where(F.col("macro_f1") >= share * F.col("maximum"))
     point = F.struct("threshold", "macro_f1")
