@@ -7,6 +7,7 @@ objects and detections.
 
 import json
 import os
+import sys
 import time
 
 from boxwise.session import local_session
@@ -29,6 +30,7 @@ def main() -> None:
         if df is not None:
             df.write.format("noop").mode("overwrite").save()
         done[name] = round(time.time() - start, 3)
+        print(name, done[name], file=sys.stderr, flush=True)
 
     timed("inputs", lambda: (v.objects, v.dets, v.hot) and None)
     timed("match_status_both", lambda: v.status and None)
@@ -40,20 +42,10 @@ def main() -> None:
         "agg13_subset_summary",
         "agg14_subset_overlap",
         "agg11_image_risk",
-        "jn10_segment_evidence",
-        "agg6_failure_rates",
-        "agg7_taxonomy_shares",
         "win4_threshold_sweep",
         "win5_threshold_grid",
         "agg16_coco_eval",
         "agg17_coco_eval_per_class",
-        "agg18_coco_eval_by_condition",
-        "agg19_subset_recovery",
-        "sc9_plan_crops",
-        "agg22_crop_context",
-        "agg20_exposure_summary",
-        "st1_paired_bootstrap",
-        "smp2_stratified_split",
     ]
     for name in jobs:
         timed(name, lambda: QUERIES[name](spark, folder))
