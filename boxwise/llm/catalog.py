@@ -7,13 +7,18 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from boxwise.llm import bpe
+from boxwise.llm import bpe, edit_embedding, langid, surrogates, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: The key of surrogates; a real run passes its own in BOXWISE_KEY.
+KEY = os.environ.get("BOXWISE_KEY", "boxwise-default-key").encode()
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -34,3 +39,36 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 @query
 def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), bpe.tokenizer_text(spark, vocabulary_path()))
+
+
+@query
+def op1_edit_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    return edit_embedding.fingerprint_with_next(table(spark, folder, "documents"))
+
+
+@query
+def op10_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    out = docs.select("doc_id", "text", langid.held_out().alias("held_out"))
+    model = langid.fit(docs.filter(~langid.held_out()))
+    return langid.predict(out, model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+@query
+def op7_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    return surrogates.replace(table(spark, folder, "documents"), KEY).select("doc_id", "n_entities", "text")
+
+
+@query
+def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.read(spark, warc.archive(table(spark, folder, "pages")))
+
+
+ORACLES["op2_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS n, sha256(h) AS digest, CAST(greatest(1, ceil(strlen(h) / 65536e0)) AS BIGINT) AS c FROM p),
+f AS (SELECT digest, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY digest),
+r AS (SELECT d.*, CASE WHEN f.first < d.page_id THEN f.first END AS refers FROM d LEFT JOIN f ON d.digest = f.digest AND d.n >= 100)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN refers IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+ refers AS refers_to, CASE WHEN refers IS NULL THEN c ELSE 1 END AS n_chunks FROM r
+"""
