@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxwise.llm import bpe, edit_embedding, langid, surrogates, warc
+from boxwise.llm import bpe, edit_embedding, langid, quotes, surrogates, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +72,8 @@ r AS (SELECT d.*, CASE WHEN f.first < d.page_id THEN f.first END AS refers FROM
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN refers IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
  refers AS refers_to, CASE WHEN refers IS NULL THEN c ELSE 1 END AS n_chunks FROM r
 """
+
+
+@query
+def op8_quotations(spark: SparkSession, folder: str) -> DataFrame:
+    return quotes.conversations(table(spark, folder, "conversations")).drop("text")
