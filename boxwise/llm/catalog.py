@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxwise.llm import bpe, edit_embedding, langid, quotes, surrogates, warc
+from boxwise.llm import bpe, edit_embedding, kneser_ney, langid, quotes, surrogates, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +77,8 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CA
 @query
 def op8_quotations(spark: SparkSession, folder: str) -> DataFrame:
     return quotes.conversations(table(spark, folder, "conversations")).drop("text")
+
+
+@query
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return kneser_ney.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
