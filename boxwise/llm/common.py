@@ -79,6 +79,13 @@ _WORD = np.ones(256, np.uint8)
 for _b in (0x20, *range(0x09, 0x0E)):
     _WORD[_b] = 0
     _VALUE[_b] = 0
+#: For words without punctuation: ASCII other than letters and digits stands between words.
+_PLAIN = _WORD.copy()
+_PLAIN_VALUE = _VALUE.copy()
+for _b in range(128):
+    if not chr(_b).isalnum():
+        _PLAIN[_b] = 0
+        _PLAIN_VALUE[_b] = 0
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 BLOCK = 1 << 17
 
@@ -104,12 +111,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of every word, and the word range of every text (n + 1)."""
+def words(buf: np.ndarray, offs: np.ndarray, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of every word, and the word range of every text (n + 1).
+
+    ``plain``: ASCII punctuation and control characters stand between words too.
+    """
     none = np.zeros(0, np.int64)
     if not len(buf):
         return np.zeros(0, np.uint64), none, none, np.zeros(len(offs), np.int64)
-    inside = _WORD[buf]
+    inside, values = (_PLAIN[buf], _PLAIN_VALUE) if plain else (_WORD[buf], _VALUE)
     before = np.empty_like(inside)
     before[1:] = inside[:-1]
     before[0] = 0
@@ -130,7 +140,7 @@ def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         power, inverse = _powers(int(high - low) + 1)
         with np.errstate(over="ignore"):
             s = np.zeros(high - low + 1, np.uint64)
-            np.cumsum(_VALUE[buf[low:high]] * power[: high - low], out=s[1:])
+            np.cumsum(values[buf[low:high]] * power[: high - low], out=s[1:])
             out[a:b] = (s[end[a:b] - low] - s[start[a:b] - low]) * inverse[start[a:b] - low]
         a = b
     return mix(out), start, end, np.searchsorted(start, offs).astype(np.int64)

@@ -1,6 +1,6 @@
 """Benchmark decontamination (operator 3).
 
-Seeds are word n-grams of the benchmark that are rare in the documents: their occurrences are counted
+Words are lower-cased, without punctuation. Seeds are word n-grams of the benchmark that are rare in the documents: their occurrences are counted
 over all texts, and of every ``WINDOW`` neighbouring n-grams of an item the rarest is a seed, so that
 each part of an item has one. Documents are looked through for seeds with a bit table of fixed
 size; hits that lie close make a passage, cut out with a margin of the longest item. Passages join
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,13 +37,23 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 PART = 512
 
 
+def plain_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of lower-cased texts without punctuation, and the word range of every text."""
+    buf, offs = text_bytes(pc.utf8_lower(column))
+    parts, bounds = [], [0]
+    for a, b in slices(offs, 4 << 20):
+        w, _, _, own = words(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], plain=True)
+        bounds += (own[1:] + bounds[-1]).tolist()
+        parts.append(w)
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.array(bounds, np.int64)
+
+
 def pieces(items: DataFrame, key: str, text: str) -> DataFrame:
     """(item, part, words, grams): word and n-gram hashes of every item, long ones in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            buf, offs = text_bytes(b.column(1))
-            w, _, _, bounds = words(buf, offs)
+            w, bounds = plain_words(b.column(1))
             rows = []
             for i, item in enumerate(b.column(0).to_pylist()):
                 own = w[bounds[i] : bounds[i + 1]]
@@ -79,13 +90,11 @@ def frequencies(docs: DataFrame, table, sizes: list[int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            buf, offs = text_bytes(b.column(0))
+            w, bounds = plain_words(b.column(0))
             found = []
-            for a, z in slices(offs, 4 << 20):
-                w, _, _, bounds = words(buf[offs[a] : offs[z]], offs[a : z + 1] - offs[a])
-                for n in sizes:
-                    g, _, _ = grams(w, bounds, n)
-                    found.append(g[is_set(table.value, g)])
+            for n in sizes:
+                g, _, _ = grams(w, bounds, n)
+                found.append(g[is_set(table.value, g)])
             k, c = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
             yield batch(["h", "n"], [k.astype(np.int64), c])
 
@@ -109,27 +118,22 @@ def passages(docs: DataFrame, table, sizes: list[int], margin: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_pylist()
-            buf, offs = text_bytes(b.column(1))
-            rows = []
-            for a, z in slices(offs, 4 << 20):
-                w, _, _, bounds = words(buf[offs[a] : offs[z]], offs[a : z + 1] - offs[a])
-                at, h = [], []
-                for n in sizes:
-                    g, first, _ = grams(w, bounds, n)
-                    hit = np.flatnonzero(is_set(table.value, g))
-                    at.append(first[hit])
-                    h.append(g[hit])
-                at, h = np.concatenate(at), np.concatenate(h)
-                if not len(at):
-                    continue
-                order = np.argsort(at, kind="stable")
-                at, h = at[order], h[order]
-                doc = np.searchsorted(bounds, at, side="right") - 1
-                new = np.flatnonzero(np.concatenate([[True], (np.diff(at) > margin) | (np.diff(doc) > 0)]))
-                for s, e in zip(new, [*new[1:], len(at)]):
-                    low = max(bounds[doc[s]], at[s] - margin)
-                    high = min(bounds[doc[s] + 1], at[e - 1] + margin + N)
-                    rows.append((ids[a + doc[s]], int(low - bounds[doc[s]]), w[low:high].astype(np.int64), np.unique(h[s:e]).astype(np.int64)))
+            w, bounds = plain_words(b.column(1))
+            rows, at, h = [], [], []
+            for n in sizes:
+                g, first, _ = grams(w, bounds, n)
+                hit = np.flatnonzero(is_set(table.value, g))
+                at.append(first[hit])
+                h.append(g[hit])
+            at, h = np.concatenate(at), np.concatenate(h)
+            order = np.argsort(at, kind="stable")
+            at, h = at[order], h[order]
+            doc = np.searchsorted(bounds, at, side="right") - 1
+            new = np.flatnonzero((np.diff(at, prepend=at[:1] - margin - 1) > margin) | (np.diff(doc, prepend=-1) > 0))
+            for s, e in zip(new, [*new[1:], len(at)]):
+                low = max(bounds[doc[s]], at[s] - margin)
+                high = min(bounds[doc[s] + 1], at[e - 1] + margin + N)
+                rows.append((ids[doc[s]], int(low - bounds[doc[s]]), w[low:high].astype(np.int64), np.unique(h[s:e]).astype(np.int64)))
             yield batch(["doc_id", "start", "words", "hits"], [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.list_(pa.int64()))])
 
     return map_arrow(docs.select("doc_id", "text"), run, "doc_id bigint, start bigint, words array<bigint>, hits array<bigint>")
