@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxwise.llm import bpe, decontaminate, edit_embedding, jaccard_join, kneser_ney, langid, quotes, surrogates, warc
+from boxwise.llm import bpe, decontaminate, edit_embedding, jaccard_join, kneser_ney, langid, quotes, substrings, surrogates, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +92,8 @@ def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.join(table(spark, folder, "documents"))
+
+
+@query
+def op6_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.duplicates(table(spark, folder, "documents"))
