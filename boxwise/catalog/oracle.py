@@ -18,7 +18,7 @@ b AS (SELECT image_id, pk, sk, rn, 1 + pk % 10 AS c0,
  CASE WHEN (pk+sk) % 2 = 0 THEN 6 + (pk*7+sk) % 22 ELSE 24 + (pk*7+sk) % 180 END AS w0,
  CASE WHEN (pk+sk) % 2 = 0 THEN 6 + (sk*11+rn*13) % 22 ELSE 24 + (sk*11+rn*13) % 160 END AS h0 FROM o),
 l AS (SELECT *, lag(x0) OVER w AS px, lag(y0) OVER w AS py, lag(w0) OVER w AS pw, lag(h0) OVER w AS ph, lag(c0) OVER w AS pc FROM b WINDOW w AS (PARTITION BY image_id ORDER BY rn)),
-r AS (SELECT image_id*16 + rn AS annotation_id, image_id, pk, sk, rn,
+r AS (SELECT image_id*1024 + rn AS annotation_id, image_id, pk, sk, rn,
  CASE WHEN rn % 4 = 0 THEN pc ELSE c0 END AS category_id,
  CASE WHEN rn % 4 = 0 THEN px + 1 ELSE x0 END AS x, CASE WHEN rn % 4 = 0 THEN py + 1 ELSE y0 END AS y,
  CASE WHEN rn % 4 = 0 THEN pw ELSE w0 END AS w, CASE WHEN rn % 4 = 0 THEN ph ELSE h0 END AS h FROM l)
@@ -30,14 +30,14 @@ SELECT annotation_id, image_id, CAST(category_id AS INTEGER) AS category_id, pk,
 DETECTIONS_SQL = """
 WITH v AS (SELECT *, (pk*{k1} + sk*{k2} + rn*{k3}) % 10 AS v, (pk*{k3} + sk*{k1} + rn*{k2}) % 700 AS s FROM {objects}),
 d AS (
- SELECT image_id*64 + rn*2 AS prediction_index, image_id,
+ SELECT image_id*4096 + rn*2 AS prediction_index, image_id,
   CASE WHEN v = 3 THEN 1 + category_id % 10 ELSE category_id END AS category_id,
   CASE WHEN v = 1 THEN 20 + s % 180 ELSE 300 + s END AS s1000,
   xi*10 + CASE WHEN v = 2 THEN wi*6 ELSE wi END AS x10, yi*10 AS y10, wi*10 AS w10, hi*10 AS h10 FROM v WHERE v <> 0
  UNION ALL
- SELECT image_id*64 + rn*2 + 1, image_id, category_id, 250 + s % 50, xi*10 + wi*2, yi*10, wi*10, hi*10 FROM v WHERE v = 4
+ SELECT image_id*4096 + rn*2 + 1, image_id, category_id, 250 + s % 50, xi*10 + wi*2, yi*10, wi*10, hi*10 FROM v WHERE v = 4
  UNION ALL
- SELECT image_id*64, image_id, 1 + image_id % 10, 300 + image_id % 700, 11000, 6000, 400, 400 FROM (SELECT DISTINCT image_id FROM {objects}) q WHERE image_id % 3 = 0)
+ SELECT image_id*4096, image_id, 1 + image_id % 10, 300 + image_id % 700, 11000, 6000, 400, 400 FROM (SELECT DISTINCT image_id FROM {objects}) q WHERE image_id % 3 = 0)
 SELECT prediction_index, image_id, CAST(category_id AS INTEGER) AS category_id, CAST(s1000 AS DOUBLE)/CAST(1000 AS DOUBLE) AS score,
  CAST(x10 AS DOUBLE)/CAST(10 AS DOUBLE) AS x, CAST(y10 AS DOUBLE)/CAST(10 AS DOUBLE) AS y, CAST(w10 AS DOUBLE)/CAST(10 AS DOUBLE) AS w, CAST(h10 AS DOUBLE)/CAST(10 AS DOUBLE) AS h FROM d
 """

@@ -1,7 +1,8 @@
 """The registered queries: one per operator, each with its SQL counterpart where SQL can say it.
 
 ``query`` names the output columns with a type letter (i integer, d double rounded to
-six places, s text, b boolean), so both sides end in the same schema.
+six places, s text, b boolean), so both sides end in the same schema. Both sides round by the same
+binary arithmetic, as Spark's and DuckDB's own functions part ways at half-way values.
 """
 
 from __future__ import annotations
@@ -36,6 +37,10 @@ ORACLES: dict[str, str] = {}
 _CAST = {"i": "bigint", "d": "double", "s": "string", "b": "boolean"}
 
 
+def _six_places(v):
+    return F.when(F.abs(v) < 1e9, F.floor(v * 1e6 + F.lit(0.5)) / F.lit(1e6) + F.lit(0.0)).otherwise(v)
+
+
 def query(name: str, columns: str, needs: str = "", sql: str | None = None):
     spec = [c.split(":") for c in columns.split()]
 
@@ -45,12 +50,12 @@ def query(name: str, columns: str, needs: str = "", sql: str | None = None):
             out = []
             for c, t in spec:
                 v = F.col(c).cast(_CAST[t])
-                out.append((F.round(v, 6) + F.lit(0.0) if t == "d" else v).alias(c))
+                out.append((_six_places(v) if t == "d" else v).alias(c))
             return df.select(*out)
 
         QUERIES[name] = run
         if sql is not None:
-            cast = {"i": "CAST({0} AS BIGINT)", "d": "round(CAST({0} AS DOUBLE), 6) + 0e0", "s": "CAST({0} AS VARCHAR)", "b": "CAST({0} AS BOOLEAN)"}
+            cast = {"i": "CAST({0} AS BIGINT)", "d": "CASE WHEN abs(CAST({0} AS DOUBLE)) < 1e9 THEN floor(CAST({0} AS DOUBLE) * 1e6 + 0.5e0) / 1e6 + 0e0 ELSE CAST({0} AS DOUBLE) END", "s": "CAST({0} AS VARCHAR)", "b": "CAST({0} AS BOOLEAN)"}
             cols = ", ".join(f'{cast[t].format(chr(34) + c + chr(34))} AS "{c}"' for c, t in spec)
             ORACLES[name] = O.with_ctes(needs, f"SELECT {cols} FROM ({sql}) final_rows")
         return fn
@@ -269,7 +274,7 @@ def _(v):
 
 @query("jn5_object_status_validation", "annotation_id:i status:s", "status_a", "SELECT annotation_id, status_v AS status FROM status_a")
 def _(v):
-    return M.object_status(v.objects, v.dets["a"], TA, variant="validation", hot=v.hot)
+    return M.object_status(v.objects, v.dets["a"], TA, variant="validation", hot=v.hot, pairs=v.pairs["a"])
 
 
 @query("jn6_false_positives", "prediction_index:i fp_type:s best_gt_annotation_id:i best_gt_category_id:i best_gt_iou:d", "fp_a", "SELECT * FROM fp_a")
@@ -279,7 +284,7 @@ def _(v):
 
 @query("jn7_false_positives_validation", "prediction_index:i fp_type:s", "fp_a", "SELECT prediction_index, fp_type_v AS fp_type FROM fp_a")
 def _(v):
-    return M.false_positives(v.objects, v.dets["a"], TA, variant="validation", hot=v.hot)
+    return M.false_positives(v.objects, v.dets["a"], TA, variant="validation", hot=v.hot, pairs=v.pairs["a"])
 
 
 _STATES = ["missed", "low_confidence_candidate", "assignment_conflict_candidate", "classification_error_candidate", "localization_error_candidate"]

@@ -53,16 +53,21 @@ class Views:
         both = self.dets["a"].select("image_id").unionByName(self.dets["b"].select("image_id"))
         return matching.hot_images(self.objects, both)
 
+    @cached_property
+    def pairs(self) -> dict[str, DataFrame]:
+        """Overlapping object-detection pairs: one image join per detector, for status and false positives."""
+        return {m: materialize(matching.iou_pairs(self.objects, d, 0.0, False, self.hot)) for m, d in self.dets.items()}
+
     @cached_property
     def status(self) -> dict[str, DataFrame]:
         return {
-            m: materialize(matching.object_status(self.objects, self.dets[m], t, hot=self.hot, keep=["scale"]))
+            m: materialize(matching.object_status(self.objects, self.dets[m], t, hot=self.hot, keep=["scale"], pairs=self.pairs[m]))
             for m, t in SCORES.items()
         }
 
     @cached_property
     def false_positives(self) -> dict[str, DataFrame]:
-        return {m: materialize(matching.false_positives(self.objects, self.dets[m], t, hot=self.hot)) for m, t in SCORES.items()}
+        return {m: materialize(matching.false_positives(self.objects, self.dets[m], t, hot=self.hot, pairs=self.pairs[m])) for m, t in SCORES.items()}
 
     @cached_property
     def wide(self) -> DataFrame:
@@ -179,11 +184,11 @@ class Views:
         )
 
 
-_OPEN: dict[tuple[int, str], Views] = {}
+_OPEN: dict[tuple[str, str], Views] = {}
 
 
 def views(spark: SparkSession, folder: str) -> Views:
-    key = (id(spark.sparkContext), folder)
+    key = (spark.sparkContext.applicationId, folder)
     if key not in _OPEN:
         _OPEN[key] = Views(spark, folder)
     return _OPEN[key]

@@ -12,13 +12,13 @@ from boxwise.session import materialize
 
 
 def detection_events(
-    objects: DataFrame, dets: DataFrame, min_iou: float = K.MATCH_IOU, hot: DataFrame | None | str = "check"
+    objects: DataFrame, dets: DataFrame, min_iou: float = K.MATCH_IOU, hot: DataFrame | None | str = "check", floor: float | None = None
 ) -> DataFrame:
-    """(category, score, is_tp) of every detection above the score floor, matched greedily."""
-    usable = dets.where(F.col("score") >= K.SCORE_FLOOR)
-    hits = greedy_match(objects, usable, min_iou, hot=hot).select("prediction_index", F.lit(1).alias("_hit"))
-    return usable.join(hits, "prediction_index", "left").select(
-        "prediction_index", "category_id", "score", F.coalesce("_hit", F.lit(0)).alias("is_tp")
+    """(image, category, score, is_tp) of every detection, matched greedily; ``floor`` leaves out lower scores."""
+    usable = dets if floor is None else dets.where(F.col("score") >= floor)
+    hits = greedy_match(objects, usable, min_iou, hot=hot).select("image_id", "prediction_index", F.lit(1).alias("_hit"))
+    return usable.join(hits, ["image_id", "prediction_index"], "left").select(
+        "image_id", "prediction_index", "category_id", "score", F.coalesce("_hit", F.lit(0)).alias("is_tp")
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from boxwise import constants as K
 from boxwise.functions.geometry import iou
 from boxwise.functions.labels import first_true
-from boxwise.session import checkpoint
+from boxwise.session import checkpoint, materialize
 
 # An image above this many boxes on either side is treated as hot.
 HOT_BOXES = 2000
@@ -80,7 +80,7 @@ def _box_join(o: DataFrame, d: DataFrame, same_class: bool, hot: DataFrame | Non
     if how == "left":
         lonely = (
             o.join(ids, "image_id", "left_semi")
-            .join(found.select("annotation_id").distinct(), "annotation_id", "left_anti")
+            .join(found.select("image_id", "annotation_id").distinct(), ["image_id", "annotation_id"], "left_anti")
         )
         found = found.unionByName(lonely, allowMissingColumns=True)
     return cold.unionByName(found).drop("_image")
@@ -191,12 +191,9 @@ def _rounds(pairs: DataFrame, tie: Column) -> DataFrame:
     )
     while True:
         proposals = alive.groupBy("image_id", "category_id", "det").agg(F.min("obj").alias("obj"))
-        held = proposals.groupBy("obj.a").agg(
-            F.min("det").alias("det"), F.count("*").alias("n"),
-            F.first("obj").alias("any"), F.first("image_id").alias("image_id"),
-            F.first("category_id").alias("category_id"),
+        held = proposals.groupBy("image_id", "category_id", F.col("obj.a").alias("annotation_id")).agg(
+            F.min("det").alias("det"), F.count("*").alias("n")
         )
-        held = held.withColumnRenamed("a", "annotation_id")
         if held.where(F.col("n") > 1).isEmpty():
             # One proposer per object: every detection sits on its best object left.
             return proposals.select(
@@ -207,9 +204,10 @@ def _rounds(pairs: DataFrame, tie: Column) -> DataFrame:
                 (-F.col("obj.i")).alias("iou"),
                 (-F.col("det.s")).alias("score"),
             )
-        keep = held.select(F.col("annotation_id").alias("_a"), F.col("det").alias("_held"))
+        keep = held.select("image_id", "category_id", F.col("annotation_id").alias("_a"), F.col("det").alias("_held"))
         alive = checkpoint(
-            alive.join(keep, F.col("obj.a") == F.col("_a"), "left")
+            alive.withColumn("_a", F.col("obj.a"))
+            .join(keep, ["image_id", "category_id", "_a"], "left")
             .where(F.col("_held").isNull() | (F.col("det") <= F.col("_held")))
             .drop("_a", "_held")
         )
@@ -247,16 +245,21 @@ def best_candidates(
     threshold: float,
     hot: DataFrame | None | str = "check",
     keep: list[str] | None = None,
+    pairs: DataFrame | None = None,
 ) -> DataFrame:
     """Best detection per object: same class, same class operating, other class operating.
 
     IoU ties go to the first prediction. Objects that meet nothing stay, with nulls and IoU 0.
+    ``pairs`` may hand in the overlapping pairs of all detections.
     """
     if isinstance(hot, str):
         hot = hot_images(objects, dets)
     keep = keep or []
-    joined = _box_join(_object_side(objects, keep), _det_side(dets), False, hot, "left")
-    v = joined.withColumn("iou", _pair_iou())
+    if pairs is None:
+        joined = _box_join(_object_side(objects, keep), _det_side(dets), False, hot, "left")
+        v = joined.withColumn("iou", _pair_iou())
+    else:
+        v = _object_side(objects, keep).join(pairs.drop("gt_category_id"), ["image_id", "annotation_id"], "left")
     cand = F.struct(
         F.col("iou"),
         (-F.col("prediction_index")).alias("p"),
@@ -321,18 +324,27 @@ def object_status(
     loc_iou: float = K.LOCALIZATION_IOU,
     hot: DataFrame | None | str = "check",
     keep: list[str] | None = None,
+    pairs: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per object: match, best candidates and status."""
+    """One row per object: match, best candidates and status.
+
+    Match and candidates come from the same overlapping pairs: those handed in (``iou_pairs`` of all
+    detections, which false positives can use too), or else one join that is stored.
+    """
     if isinstance(hot, str):
         hot = hot_images(objects, dets)
-    best = best_candidates(objects, dets, threshold, hot, keep)
-    matched = greedy_match(objects, dets.where(F.col("score") >= threshold), match_iou, hot=hot).select(
+    if pairs is None:
+        pairs = materialize(iou_pairs(objects, dets, 0.0, False, hot))
+    best = best_candidates(objects, dets, threshold, hot, keep, pairs)
+    usable = (F.col("score") >= threshold) & (F.col("iou") >= match_iou) & (F.col("gt_category_id") == F.col("det_category_id"))
+    matched = greedy_from_pairs(pairs.where(usable), hot).select(
+        "image_id",
         "annotation_id",
         F.col("prediction_index").alias("matched_prediction_index"),
         F.col("iou").alias("matched_iou"),
         F.col("score").alias("matched_score"),
     )
-    out = best.join(matched, "annotation_id", "left")
+    out = best.join(matched, ["image_id", "annotation_id"], "left")
     return out.withColumn("status", status_label(threshold, variant, match_iou, loc_iou)).withColumn(
         "detected", F.col("matched_prediction_index").isNotNull()
     )
@@ -363,23 +375,28 @@ def false_positives(
     match_iou: float = K.MATCH_IOU,
     loc_iou: float = K.LOCALIZATION_IOU,
     hot: DataFrame | None | str = "check",
+    pairs: DataFrame | None = None,
 ) -> DataFrame:
     """Unmatched operating detections with a cause from the best-overlapping object of any class.
 
-    IoU ties go to the lowest annotation id; without overlap the best object is null.
+    IoU ties go to the lowest annotation id; without overlap the best object is null. ``pairs`` as for
+    ``object_status``. A detection is known by image and index.
     """
     if isinstance(hot, str):
         hot = hot_images(objects, dets)
     operating = dets.where(F.col("score") >= threshold)
-    pairs = iou_pairs(objects, operating, 0.0, False, hot)
+    if pairs is None:
+        pairs = materialize(iou_pairs(objects, operating, 0.0, False, hot))
+    pairs = pairs.where(F.col("score") >= threshold)
+    own = ["image_id", "prediction_index"]
     matched = greedy_from_pairs(
         pairs.where((F.col("iou") >= match_iou) & (F.col("gt_category_id") == F.col("det_category_id"))), hot
     )
-    best = pairs.groupBy("prediction_index").agg(
+    best = pairs.groupBy(*own).agg(
         F.max(F.struct("iou", (-F.col("annotation_id")).alias("a"), "gt_category_id")).alias("b")
     )
-    free = operating.join(matched.select("prediction_index"), "prediction_index", "left_anti")
-    out = free.join(best, "prediction_index", "left").select(
+    free = operating.join(matched.select(*own), own, "left_anti")
+    out = free.join(best, own, "left").select(
         *operating.columns,
         (-F.col("b.a")).alias("best_gt_annotation_id"),
         F.col("b.gt_category_id").alias("best_gt_category_id"),

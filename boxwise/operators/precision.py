@@ -50,7 +50,7 @@ def ranked_detections(dets: DataFrame, max_dets: int = K.MAX_DETECTIONS) -> Data
 
 
 def _masks(groups: DataFrame) -> DataFrame:
-    """(prediction_index, tp, matched_ignored) bits from the pairs of each group.
+    """(image_id, prediction_index, tp, matched_ignored) bits from the pairs of each group.
 
     A pair whose detection and object meet nobody else matches at every threshold its
     IoU reaches (``n`` of them). Contested pairs are folded once per distinct ``n``, as
@@ -71,9 +71,11 @@ def _masks(groups: DataFrame) -> DataFrame:
 
     below = lambda n: f"(shiftleft(1L, {n}) - 1)"
     split = groups.selectExpr(
+        "image_id",
         f"transform(filter(pairs, q -> NOT {contested}), q -> {row(below('q.n'), '15')}) AS alone",
         f"filter(pairs, q -> {contested}) AS rest",
     ).selectExpr(
+        "image_id",
         "alone",
         "rest",
         "array_sort(array_distinct(transform(rest, q -> q.n))) AS levels",
@@ -86,8 +88,8 @@ def _masks(groups: DataFrame) -> DataFrame:
         (acc, q) -> IF(exists(acc, m -> m.a = q.a OR m.p = q.p), acc, array_append(acc, q)))"""
     fold = f"""flatten(transform(variants, v -> flatten(transform(array({ordered}), s ->
         flatten(transform(levels, (l, j) -> transform({chosen}, q -> {row(mask, 'v.areas')})))))))"""
-    rows = split.selectExpr(f"inline(IF(size(rest) = 0, alone, concat(alone, {fold})))")
-    return rows.groupBy("prediction_index").agg(
+    rows = split.selectExpr("image_id", f"inline(IF(size(rest) = 0, alone, concat(alone, {fold})))")
+    return rows.groupBy("image_id", "prediction_index").agg(
         F.sum("tp").alias("tp"), F.sum("matched_ignored").alias("matched_ignored")
     )
 
@@ -123,7 +125,7 @@ def match_cache(
         F.expr(" + ".join(f"CAST(iou >= {t!r}D AS INT)" for t in K.IOU_THRESHOLDS)).alias("n"),
     )
     groups = pairs.groupBy("image_id", "gt_category_id").agg(F.collect_list(item).alias("pairs"))
-    rows = cut.join(_masks(groups), "prediction_index", "left").na.fill(0, ["tp", "matched_ignored"])
+    rows = cut.join(_masks(groups), ["image_id", "prediction_index"], "left").na.fill(0, ["tp", "matched_ignored"])
     outside = _spread(_outside_mask(F.col("w") * F.col("h")))
     matched = F.col("tp").bitwiseOR(F.col("matched_ignored"))
     return rows.select(

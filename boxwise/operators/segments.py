@@ -67,15 +67,15 @@ def segment_evidence(
         hot = hot_images(own, boxes)
     pairs = iou_pairs(own, boxes, 0.0, True, hot)
     matched = greedy_from_pairs(pairs.where(F.col("iou") >= match_iou), hot).select(
-        "annotation_id", "prediction_index", F.col("score").alias("seg_score"), F.col("iou").alias("seg_bbox_iou")
+        "image_id", "annotation_id", "prediction_index", F.col("score").alias("seg_score"), F.col("iou").alias("seg_bbox_iou")
     )
-    best = pairs.groupBy("annotation_id").agg(F.max("iou").alias("best_same_class_iou"))
-    box = own.select("annotation_id", "x", "y", "w", "h")
+    best = pairs.groupBy("image_id", "annotation_id").agg(F.max("iou").alias("best_same_class_iou"))
+    box = own.select("image_id", "annotation_id", "x", "y", "w", "h")
     region = polygon_support(
-        matched.join(box, "annotation_id").join(usable.select("prediction_index", "polygons"), "prediction_index")
-    ).select("annotation_id", "prediction_index", "seg_score", "seg_bbox_iou", "polygon_count", "polygon_area", "inside_area", "inside_ratio", "gt_coverage")
+        matched.join(box, ["image_id", "annotation_id"]).join(usable.select("image_id", "prediction_index", "polygons"), ["image_id", "prediction_index"])
+    ).select("image_id", "annotation_id", "prediction_index", "seg_score", "seg_bbox_iou", "polygon_count", "polygon_area", "inside_area", "inside_ratio", "gt_coverage")
     v = objects.select("annotation_id", "image_id", "category_id", applicable.alias("applicable"))
-    v = v.join(region, "annotation_id", "left").join(best, "annotation_id", "left")
+    v = v.join(region, ["image_id", "annotation_id"], "left").join(best, ["image_id", "annotation_id"], "left")
     hit = F.col("prediction_index").isNotNull()
     status = first_true(
         [

@@ -49,7 +49,7 @@ def objects(spark: SparkSession, folder: str) -> DataFrame:
         pick("x0", 1).alias("xi"), pick("y0", 1).alias("yi"), pick("w0", 0).alias("wi"), pick("h0", 0).alias("hi"),
     )
     return boxed.select(
-        (F.col("image_id") * 16 + rn).alias("annotation_id"),
+        (F.col("image_id") * 1024 + rn).alias("annotation_id"),
         "image_id", "category_id", "pk", "sk", "rn",
         *[F.col(f"{c}i").cast("double").alias(c) for c in "xywh"],
         (F.col("wi") * F.col("hi")).cast("double").alias("area"),
@@ -65,7 +65,7 @@ def detections(spark: SparkSession, folder: str, model: str, source: DataFrame |
     rows = src.withColumns(
         {"v": (pk * k1 + sk * k2 + rn * k3) % 10, "s": (pk * k3 + sk * k1 + rn * k2) % 700}
     ).where("v <> 0")
-    index = F.col("image_id") * 64 + rn * 2
+    index = F.col("image_id") * 4096 + rn * 2
 
     def det(pi, category, s1000, x10, y10, w10, h10):
         box = {"x": x10, "y": y10, "w": w10, "h": h10}
@@ -88,7 +88,7 @@ def detections(spark: SparkSession, folder: str, model: str, source: DataFrame |
     found = rows.select(F.inline(F.when(v == 4, F.array(main, weaker)).otherwise(F.array(main))))
     img = F.col("image_id")
     background = src.where(img % 3 == 0).select("image_id").distinct().select(
-        F.inline(F.array(det(img * 64, 1 + img % 10, 300 + img % 700, F.lit(11000), F.lit(6000), F.lit(400), F.lit(400))))
+        F.inline(F.array(det(img * 4096, 1 + img % 10, 300 + img % 700, F.lit(11000), F.lit(6000), F.lit(400), F.lit(400))))
     )
     return found.unionByName(background)
 
