@@ -133,14 +133,16 @@ def shards(rows: DataFrame, most: int) -> list[list[int]]:
 class Shard:
     """Sorted keys and logarithms of one shard, by order and kind."""
 
-    def __init__(self, rows, own: list[int]):
+    def __init__(self, rows: pa.Table, own: list[int]):
+        """``rows``: tag (2 x order, plus 1 for weights), key, log."""
         self.own = np.zeros(256, bool)
         self.own[own] = True
         self.tables = {}
-        for (order, kind), part in rows.groupby(["order", "kind"]):
-            k = part["key"].to_numpy().astype(np.uint64)
+        tag, key, log = (rows.column(i).to_numpy() for i in range(3))
+        for t in np.unique(tag):
+            k = key[tag == t].astype(np.uint64)
             at = np.argsort(k)
-            self.tables[int(order), kind] = (k[at], np.log(part["value"].to_numpy()[at]).astype(np.float32))
+            self.tables[int(t) // 2, "pw"[t % 2]] = (k[at], log[tag == t][at])
 
     def find(self, order: int, kind: str, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         have, value = self.tables.get((order, kind), (np.zeros(0, np.uint64), np.zeros(0, np.float32)))
@@ -164,16 +166,21 @@ class Shard:
         return out
 
 
-def scores(docs: DataFrame, rows: DataFrame, shard_rows: int = SHARD) -> DataFrame:
-    """(row columns of ``docs`` without text, n_bytes, log_p): a pass over the texts per shard, summed by row."""
+def scores(docs: DataFrame, rows: DataFrame, shard_rows: int = SHARD) -> tuple[DataFrame, list]:
+    """(row columns of ``docs`` without text, n_bytes, log_p): a pass over the texts per shard, summed by row.
+
+    The shards sent to the executors come second; the caller drops them when the result is stored.
+    """
     spark, carried = docs.sparkSession, [c for c in docs.columns if c != "text"]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
     plan = shards(rows, shard_rows)
     before = F.when(F.col("kind") == "p", F.shiftright("key", 8)).otherwise(F.col("key")).bitwiseAND(F.lit(255))
-    parts = None
+    parts, sent = None, []
+    tag = (F.col("order") * 2 + (F.col("kind") == "w").cast("int")).cast("tinyint")
     for own in plan:
-        local = rows.filter((F.col("order") == 1) | before.between(own[0], own[-1])).toPandas()
-        shared = spark.sparkContext.broadcast(Shard(local, own))
+        local = rows.filter((F.col("order") == 1) | before.between(own[0], own[-1])).select(tag.alias("tag"), "key", F.log("value").cast("float").alias("log"))
+        shared = spark.sparkContext.broadcast(Shard(local.toArrow(), own))
+        sent.append(shared)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             s = shared.value
@@ -193,7 +200,7 @@ def scores(docs: DataFrame, rows: DataFrame, shard_rows: int = SHARD) -> DataFra
 
         part = map_arrow(docs.select(*carried, "text"), run, f"{kinds}, n_bytes bigint, log_p double")
         parts = part if parts is None else parts.unionByName(part)
-    return parts if len(plan) == 1 else parts.groupBy(*carried).agg(F.max("n_bytes").alias("n_bytes"), F.sum("log_p").alias("log_p"))
+    return (parts if len(plan) == 1 else parts.groupBy(*carried).agg(F.max("n_bytes").alias("n_bytes"), F.sum("log_p").alias("log_p"))), sent
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", shard_rows: int = SHARD) -> DataFrame:
@@ -207,7 +214,7 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     rows = docs.select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).join(side, F.col("key") == F.col("good"), "left")
     # equal rows are told apart by a number, so that sums over shards are sums of one row
     rows = rows.select("key", "lang", F.coalesce("trusted", F.lit(False)).alias("trusted"), (F.pmod(F.xxhash64("key"), F.lit(HELD)) == 0).alias("held"), "text")
-    trusted = rows.filter("trusted and not held")
+    trusted, sent = rows.filter("trusted and not held"), []
     if trusted.isEmpty():
         scored = rows.select("key", "lang", "trusted", "held", F.coalesce(F.octet_length(F.lower("text")), F.lit(0)).cast("long").alias("n_bytes"), F.lit(None).cast("double").alias("log_p"))
     else:
@@ -215,13 +222,15 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         if len(shards(table, shard_rows)) > 1:
             rows = rows.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
             unique = rows.dropDuplicates(["key", "lang", "digest"])
-            scored = scores(unique, table, shard_rows)
+            scored, sent = scores(unique, table, shard_rows)
             times = rows.groupBy("key", "lang", "digest").agg(F.count("*").alias("times"))
             same = F.col("a.key").eqNullSafe(F.col("b.key")) & F.col("a.lang").eqNullSafe(F.col("b.lang")) & (F.col("a.digest") == F.col("b.digest"))
             scored = scored.alias("a").join(times.alias("b"), same).select("a.key", "a.lang", "trusted", "held", "n_bytes", "log_p", F.explode(F.expr("array_repeat(1, cast(times as int))")).alias("one")).drop("one")
         else:
-            scored = scores(rows, table, shard_rows)
+            scored, sent = scores(rows, table, shard_rows)
     scored = materialize(scored.select("key", "lang", "trusted", "held", "n_bytes", F.when(F.col("n_bytes") > 0, F.exp(-F.col("log_p") / F.col("n_bytes"))).alias("perplexity")))
+    for shared in sent:
+        shared.destroy()
     sample = scored.filter("trusted and held and perplexity is not null")
     cut = (F.percentile_approx("perplexity", QUANTILE, 10000) * SLACK).alias("threshold")
     general = sample.agg(cut).first()[0]
