@@ -18,6 +18,7 @@ from boxwise.operators import breakdown as B
 from boxwise.operators import calibrate as C
 from boxwise.operators import crops as CR
 from boxwise.operators import curves as CU
+from boxwise.operators import matching as M
 from boxwise.operators import prep as PR
 from boxwise.operators import ranking as RK
 from boxwise.operators import risk as RI
@@ -144,8 +145,8 @@ def _u(ns: str) -> str:
     return O.uniform_sql(f"'{ns}:' || annotation_id", K.SAMPLING_SEED)
 
 
-def _policy(i: int) -> str:
-    rows = " ".join(f"WHEN '{g}' THEN {p[i]!r}e0" for g, p in K.CROP_POLICY.items())
+def _policy(i: int, policy=K.CROP_POLICY) -> str:
+    rows = " ".join(f"WHEN '{g}' THEN {p[i]!r}e0" for g, p in policy.items())
     return f"(CASE failure_group {rows} ELSE {K.CONTROL_CROP[i]!r}e0 END)"
 
 
@@ -155,12 +156,17 @@ def _start(p: str, size: str, full: str, crop: str, name: str) -> str:
     return f"least(greatest(0, round_even(CASE WHEN {low} <= {high} THEN least(greatest({want}, {low}), {high}) ELSE least(greatest({want}, 0), {full} - {crop}) END, 0)), {full} - {crop})"
 
 
-O.cte("crops", "grouped images", f"""SELECT *, {_start('x', 'w', '1280e0', 'crop_width', 'crop_x')} AS crop_x0, {_start('y', 'h', '720e0', 'crop_height', 'crop_y')} AS crop_y0 FROM (
+def _crops_sql(policy=K.CROP_POLICY) -> str:
+    return f"""SELECT *, {_start('x', 'w', '1280e0', 'crop_width', 'crop_x')} AS crop_x0, {_start('y', 'h', '720e0', 'crop_height', 'crop_y')} AS crop_y0 FROM (
  SELECT *, least(1280, greatest(1, round_even(greatest(least(1280e0, cw), w), 0))) AS crop_width, least(720, greatest(1, round_even(greatest(least(720e0, ch), h), 0))) AS crop_height FROM (
   SELECT *, least(t * 16 / 9, 1280e0) AS cw, CASE WHEN t * 16 / 9 > 1280 THEN 720e0 ELSE t END AS ch FROM (
-   SELECT g.annotation_id, g.image_id, g.category_id, g.failure_group, g.risk_score, o.x, o.y, o.w, o.h, least(greatest({_policy(0)}, o.h * f, o.w * f * 9 / 16), {_policy(1)}, 720e0) AS t
-   FROM (SELECT *, {_policy(2)} + ({_policy(3)} - {_policy(2)}) * {_u('crop_factor')} AS f FROM grouped WHERE failure_group <> 'standard_support') g
-   JOIN objects o USING (annotation_id) JOIN images i ON i.image_id = g.image_id WHERE i.split = 'core')))""")
+   SELECT g.annotation_id, g.image_id, g.category_id, g.failure_group, g.risk_score, o.x, o.y, o.w, o.h, least(greatest({_policy(0, policy)}, o.h * f, o.w * f * 9 / 16), {_policy(1, policy)}, 720e0) AS t
+   FROM (SELECT *, {_policy(2, policy)} + ({_policy(3, policy)} - {_policy(2, policy)}) * {_u('crop_factor')} AS f FROM grouped WHERE failure_group <> 'standard_support') g
+   JOIN objects o USING (annotation_id) JOIN images i ON i.image_id = g.image_id WHERE i.split = 'core')))"""
+
+
+O.cte("crops", "grouped images", _crops_sql())
+O.cte("balanced_crops", "grouped images", _crops_sql(K.BALANCED_CROP_POLICY))
 
 
 @query("sc9_plan_crops", "annotation_id:i crop_x0:d crop_y0:d crop_width:d crop_height:d", "crops", "SELECT * FROM crops")
@@ -168,6 +174,11 @@ def _(v):
     return v.crops
 
 
+@query("sc9_plan_crops_balanced", "annotation_id:i crop_x0:d crop_y0:d crop_width:d crop_height:d", "balanced_crops", "SELECT * FROM balanced_crops")
+def _(v):
+    return CR.plan_crops(v.crop_targets, K.BALANCED_CROP_POLICY)
+
+
 O.cte("near", "crops objects", """SELECT *, iw * ih / (ow * oh) AS visible, object_id = annotation_id AS is_target, ox + ow / 2 BETWEEN crop_x0 AND crop_x0 + crop_width AND oy + oh / 2 BETWEEN crop_y0 AND crop_y0 + crop_height AS centre_inside FROM (
  SELECT c.*, o.annotation_id AS object_id, o.category_id AS oc, o.x AS ox, o.y AS oy, o.w AS ow, o.h AS oh, greatest(o.x, crop_x0) AS ix, greatest(o.y, crop_y0) AS iy,
  greatest(0, least(o.x + o.w, crop_x0 + crop_width) - greatest(o.x, crop_x0)) AS iw, greatest(0, least(o.y + o.h, crop_y0 + crop_height) - greatest(o.y, crop_y0)) AS ih FROM crops c JOIN objects o USING (image_id))""")
@@ -334,7 +345,7 @@ O.cte("typed_rows", "typed", "SELECT m.a AS annotation_id, m.i AS image_id, m.c
 
 def _typed(v: Views) -> DataFrame:
     if not hasattr(v, "_typed_sample"):
-        v._typed_sample = materialize(S.typed_quota_sample(v.risk, QUOTAS, 0.15, 100))
+        v._typed_sample = materialize(S.typed_quota_sample(v.risk, QUOTAS, 0.15, 100, strict=False))
     return v._typed_sample
 
 
@@ -353,19 +364,25 @@ def _matched_sql(keys: list[str], priority: str) -> str:
   SELECT *, row_number() OVER (ORDER BY pool / need, {cols}) AS st FROM (SELECT {cols}, count(*) AS need FROM {binned('typed_rows')} GROUP BY ALL) JOIN (SELECT {cols}, count(*) AS pool FROM {binned('risk')} GROUP BY ALL) USING ({cols})) USING ({cols}))))"""
 
 
+@query("smp5_shortfall", "failure_group:s required:i selected:i", "typed_rows", "SELECT failure_group, required, coalesce(n, 0) AS selected FROM (" + " UNION ALL ".join(f"SELECT '{g}' AS failure_group, {q} AS required" for g, q in QUOTAS.items()) + ") LEFT JOIN (SELECT failure_group, count(*) AS n FROM typed_rows GROUP BY 1) USING (failure_group) WHERE coalesce(n, 0) < required")
+def _(v):
+    required = v.spark.createDataFrame(list(QUOTAS.items()), "failure_group string, required long")
+    return S.shortfall(_typed(v), required, ["failure_group"])
+
+
 @query("smp6_matched_sample", "annotation_id:i image_id:i", "typed_rows risk", _matched_sql(["category_id", "scale", "risk_bin"], "U"))
 def _(v):
-    return S.matched_sample(v.risk, _typed(v))
+    return S.matched_sample(v.risk, _typed(v), strict=False)
 
 
 @query("smp7_class_matched_weighted", "annotation_id:i image_id:i", "typed_rows risk", _matched_sql(["category_id"], f"-ln(U) / {_W}"))
 def _(v):
-    return S.matched_sample(v.risk, _typed(v), "class", "weighted")
+    return S.matched_sample(v.risk, _typed(v), "class", "weighted", strict=False)
 
 
 @query("smp8_class_matched_top_risk", "annotation_id:i image_id:i", "typed_rows risk", _matched_sql(["category_id"], "-risk_score + U * 1e-12"))
 def _(v):
-    return S.matched_sample(v.risk, _typed(v), "class", "top_risk")
+    return S.matched_sample(v.risk, _typed(v), "class", "top_risk", strict=False)
 
 
 _BASE = f"""SELECT image_id, CASE WHEN row_number() OVER (ORDER BY {_h("'common_original_base:' || image_id")}, image_id) <= 1000 THEN 'base' ELSE 'supplement' END AS part FROM images"""
@@ -476,6 +493,10 @@ def _(v):
 # --- statistics -------------------------------------------------------------------------------
 
 
+#: Replicates of the registered bootstrap summary; the row-by-row comparison with SQL uses fewer.
+EVIDENCE_REPLICATES = 50
+
+
 def _boot(v: Views) -> DataFrame:
     if not hasattr(v, "_boot_deltas"):
         v._boot_deltas = materialize(ST.paired_bootstrap(v.objects, v.images, v.cache, "a", O.REPLICATES))
@@ -495,6 +516,15 @@ def _(v):
     return _boot(v)
 
 
+@query("st1_bootstrap_evidence", "metric:s replicates:i mean:d standard_error:d median:d ci_low:d ci_high:d stable:b p_value:d evidence_role:s bh_q_value:d significant:b")
+def _(v):
+    """Summary, p-values and adjusted q-values of the bootstrap's own deltas, at ``EVIDENCE_REPLICATES`` replicates."""
+    deltas = ST.paired_bootstrap(v.objects, v.images, v.cache, "a", EVIDENCE_REPLICATES)
+    by = ["comparison", "metric"]
+    tested = ST.bh_adjust(ST.evidence_role(ST.empirical_p(deltas, by), {"b_minus_a": ["AP"]}))
+    return ST.delta_summary(deltas, by).join(tested, by)
+
+
 O.cte("rowdelta", "wide", """SELECT 'c' || (category_id % 3) AS comparison, scale AS metric, image_id % 50 AS replicate, avg(CASE WHEN b_detected THEN 1e0 ELSE 0e0 END - CASE WHEN a_detected THEN 1e0 ELSE 0e0 END) AS delta FROM wide GROUP BY 1, 2, 3""")
 
 
@@ -646,27 +676,31 @@ _IMG = "SELECT image_id, width, height, timeofday, weather, scene FROM images"
 
 
 def _documents(v: Views) -> str:
-    """Annotation documents of 64 images each, one per line."""
-    img, ann = WR.coco_entities(v.images, v.objects)
-    shard = F.floor(F.col("image_id") / 64).alias("shard")
-    i = img.withColumn("image_id", F.col("id")).groupBy(shard).agg(F.collect_list(F.struct(*img.columns)).alias("images"))
-    a = ann.groupBy(shard).agg(F.collect_list(F.struct(*ann.columns)).alias("annotations"))
+    """Annotation documents of about 64 images each, one per line."""
     path = _path(v)
-    i.join(a, "shard", "left").select("images", "annotations").write.json(path)
+    WR.write_coco(v.images, v.objects.withColumn("segmentation", F.expr("array(array(x, y, x + w, y, x + w, y + h))")), path)
     return path
 
 
+_NAME = "CASE category_id " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in K.CATEGORIES.items()) + " END"
+
+
 @query("src1_read_coco_images", "image_id:i file_name:s width:i height:i weather:s scene:s timeofday:s", "images", "SELECT *, image_id || '.jpg' AS file_name FROM images")
 def _(v):
     return RD.read_coco(v.spark, _documents(v), multiline=False)[0]
 
 
-@query("src1_read_coco_objects", "annotation_id:i image_id:i category_id:i x:d y:d w:d h:d area:d iscrowd:i", "objects", "SELECT *, 0 AS iscrowd FROM objects")
+@query("src1_read_coco_objects", "annotation_id:i image_id:i category_id:i x:d y:d w:d h:d area:d iscrowd:i occluded:b truncated:b corner:d", "objects", "SELECT *, 0 AS iscrowd, y + h AS corner FROM objects")
 def _(v):
-    return RD.read_coco(v.spark, _documents(v), multiline=False)[1]
+    return RD.read_coco(v.spark, _documents(v), multiline=False)[1].withColumn("corner", F.expr("segmentation[0][5]"))
+
+
+@query("src1_read_coco_categories", "category_id:i category:s", "objects", f"SELECT DISTINCT category_id, {_NAME} AS category FROM objects")
+def _(v):
+    used = v.objects.select("category_id").distinct()
+    return RD.read_coco(v.spark, _documents(v), multiline=False)[2].join(used, "category_id", "left_semi")
 
 
-_NAME = "CASE category_id " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in K.CATEGORIES.items()) + " END"
 
 
 def _class_name():
@@ -709,12 +743,31 @@ def _(v):
     return RD.read_detections(v.spark, path, "a", one_per_line=True)
 
 
+@query("src4_false_positives_of_files", "image_id:i prediction_index:i fp_type:s best_gt_iou:d", "fp_a d_a", "SELECT f.image_id, p.prediction_index, fp_type, best_gt_iou FROM (SELECT fp_a.*, d_a.image_id FROM fp_a JOIN d_a USING (prediction_index)) f JOIN (SELECT image_id, prediction_index AS q, row_number() OVER (PARTITION BY image_id ORDER BY prediction_index) - 1 AS prediction_index FROM d_a) p ON p.q = f.prediction_index")
+def _(v):
+    """Several detection documents, numbered anew by image, through the false positives."""
+    row = F.struct("prediction_index", F.struct("image_id", "category_id", "score", F.array(*"xywh").alias("bbox")).alias("d"))
+    lists = v.dets["a"].groupBy(F.floor(F.col("image_id") / 64).alias("shard")).agg(F.sort_array(F.collect_list(row)).alias("r"))
+    path = _path(v)
+    lists.select(F.to_json(F.transform("r", lambda q: q["d"])).alias("value")).write.text(path)
+    dets = RD.number_detections(RD.read_detections(v.spark, path, "a", one_per_line=True))
+    return M.false_positives(v.objects, materialize(dets), SCORES["a"], hot=v.hot)
+
+
 @query("src5_read_norm_labels", "class_index:i cx:d cy:d nw:d nh:d", "objects", "SELECT category_id - 1 AS class_index, (x + w / 2) / 1280 AS cx, (y + h / 2) / 720 AS cy, w / 1280 AS nw, h / 720 AS nh FROM objects")
 def _(v):
     path = _path(v)
     norm = PR.to_norm(v.objects.withColumns({"width": F.lit(1280), "height": F.lit(720)}))
     WR.norm_label_lines(norm).select("text").write.text(path)
-    return RD.read_norm_labels(v.spark, path)
+    return RD.read_norm_labels(v.spark, path)[0]
+
+
+@query("src5_rejected_label_lines", "line:s n:i", "images", "SELECT CASE image_id % 3 WHEN 0 THEN '1 0.5 0.5 nan 0.1' WHEN 1 THEN '1.5 0.5 0.5 0.1 0.1' ELSE 'four fields in all' END AS line, count(*) AS n FROM images GROUP BY 1")
+def _(v):
+    path = _path(v)
+    odd = F.expr("CASE image_id % 3 WHEN 0 THEN '1 0.5 0.5 nan 0.1' WHEN 1 THEN '1.5 0.5 0.5 0.1 0.1' ELSE 'four fields in all' END")
+    v.images.select(F.concat(F.lit("3.0 0.5 0.5 0.1 0.1 0.9\n"), odd, F.lit("\n\n")).alias("text")).write.text(path)
+    return RD.read_norm_labels(v.spark, path)[1].groupBy("line").agg(F.count("*").alias("n"))
 
 
 @query("src6_read_id_set", "image_id:i", "images", "SELECT image_id FROM images WHERE split = 'dev'")
@@ -744,16 +797,25 @@ def _(v):
 def _(v):
     path = _path(v)
     WR.write_coco(v.images, v.objects, path)
-    back = v.spark.read.schema("id bigint, image_id bigint, category_id int, bbox array<double>, area double, iscrowd int").json(f"{path}/annotations")
-    return back.withColumn("x", F.get("bbox", F.lit(0)))
+    return RD.read_coco(v.spark, path, multiline=False)[1].withColumnRenamed("annotation_id", "id")
+
+
+@query("snk1_write_coco_images", "image_id:i width:i height:i timeofday:s weather:s scene:s", "images", _IMG)
+def _(v):
+    path = _path(v)
+    WR.write_coco(v.images, v.objects, path)
+    return RD.read_coco(v.spark, path, multiline=False)[0]
 
 
-@query("snk2_norm_label_lines", "image_id:i text:s", "objects", """SELECT image_id, string_agg((category_id - 1) || ' ' || printf('%.4f', (x + w / 2) / 1280) || ' ' || printf('%.4f', (y + h / 2) / 720) || ' ' || printf('%.4f', w / 1280) || ' ' || printf('%.4f', h / 720), chr(10) ORDER BY annotation_id) AS text FROM (SELECT image_id, annotation_id, category_id, x - x % 8 + 0.1e0 AS x, y - y % 9 + 0.1e0 AS y, w - w % 16 + 16 AS w, h - h % 18 + 18 AS h FROM objects) GROUP BY 1""")
+@query("snk2_norm_label_lines", "image_id:i class_index:i cx:d cy:d nw:d nh:d", "objects", "SELECT image_id, category_id - 1 AS class_index, (x + w / 2) / 1280 AS cx, (y + h / 2) / 720 AS cy, w / 1280 AS nw, h / 720 AS nh FROM objects")
 def _(v):
-    snapped = v.objects.withColumns(
-        {"x": F.expr("x - x % 8 + 0.1D"), "y": F.expr("y - y % 9 + 0.1D"), "w": F.expr("w - w % 16 + 16"), "h": F.expr("h - h % 18 + 18"), "width": F.lit(1280), "height": F.lit(720)}
+    """The lines at the default digits, taken apart again as numbers: texts of half-way values differ between engines."""
+    lines = WR.norm_label_lines(PR.to_norm(v.objects.withColumns({"width": F.lit(1280), "height": F.lit(720)})))
+    part = F.split("line", " ")
+    number = lambda i: F.get(part, F.lit(i)).cast("double")
+    return lines.select("image_id", F.explode(F.split("text", "\n")).alias("line")).select(
+        "image_id", number(0).cast("int").alias("class_index"), *[number(i + 1).alias(c) for i, c in enumerate(("cx", "cy", "nw", "nh"))]
     )
-    return WR.norm_label_lines(PR.to_norm(snapped), 4)
 
 
 @query("snk3_write_result", "image_id:i num:i", "status_a", "SELECT image_id, count(*) AS num FROM status_a GROUP BY 1")

@@ -345,6 +345,15 @@ def _(v):
     return B.value_counts(v.images, ["timeofday", "weather", "scene", "width", "height", "split"])
 
 
+_OBJECT_FIELDS = ("category_id", "scale", "occluded", "truncated", "geometry")
+
+
+@query("agg1_object_value_counts", "field:s value:s count:i", "objects", " UNION ALL ".join(f"SELECT '{f}' AS field, CAST({f} AS VARCHAR) AS value, count(*) AS count FROM (SELECT *, CASE WHEN w <= 0 OR h <= 0 THEN 'invalid' WHEN w >= h THEN 'wide' ELSE 'tall' END AS geometry FROM objects) GROUP BY 2" for f in _OBJECT_FIELDS))
+def _(v):
+    shaped = v.objects.withColumn("geometry", F.when((F.col("w") <= 0) | (F.col("h") <= 0), "invalid").when(F.col("w") >= F.col("h"), "wide").otherwise("tall"))
+    return B.value_counts(shaped, list(_OBJECT_FIELDS))
+
+
 @query("agg2_condition_subsets", "dimension:s value:s images:i objects:i role:s", "membership objects", """SELECT dimension, value, count(*) AS images, coalesce(sum(n), 0) AS objects, CASE WHEN count(*) >= 100 AND value <> 'undefined' THEN 'primary' ELSE 'supplementary' END AS role
  FROM membership LEFT JOIN (SELECT image_id, count(*) AS n FROM objects GROUP BY 1) ON mi = image_id WHERE dimension <> 'overall' GROUP BY 1, 2""")
 def _(v):

@@ -118,14 +118,17 @@ class Views:
         return risk.failure_subsets(self.risk)
 
     @cached_property
-    def crops(self) -> DataFrame:
-        """A crop per risky object of the core split."""
+    def crop_targets(self) -> DataFrame:
+        """The risky objects of the core split."""
         grouped = sampling.with_failure_group(self.risk).where(F.col("failure_group") != "standard_support")
         box = self.objects.select("annotation_id", *"xywh")
         image = self.images.where("split = 'core'").select("image_id", "width", "height")
         columns = ["annotation_id", "image_id", "category_id", "failure_group", "risk_score"]
-        targets = grouped.select(*columns).join(box, "annotation_id").join(image, "image_id")
-        return materialize(crops.plan_crops(targets))
+        return grouped.select(*columns).join(box, "annotation_id").join(image, "image_id")
+
+    @cached_property
+    def crops(self) -> DataFrame:
+        return materialize(crops.plan_crops(self.crop_targets))
 
     @cached_property
     def context(self) -> DataFrame:

@@ -182,12 +182,13 @@ def evaluate_cells(cache: DataFrame, counts: DataFrame, by: list[str], weight: s
         sums[f"t{c}"] = f"{_bit('tp', c)} * {w}"
         sums[f"n{c}"] = f"(1L - {_bit('ignored', c)}) * {w}"
     # Cells differ only in their masks, so one sort serves all forty. Equal scores are
-    # ordered by image, so a popular score is cut further by ranges of the image id.
+    # ordered by image inside a score bucket. Buckets can't be cut by image ids too, as one may hold
+    # several scores.
     ordered = running_sums(
         cache,
         keys,
         ["score DESC", "image_id", "rank"],
-        [f"-({order_bucket('score')})", "floor(image_id / 1048576)"],
+        [f"-({order_bucket('score', 4096)})"],
         sums,
     )
     cells = ", ".join(

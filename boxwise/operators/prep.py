@@ -93,15 +93,18 @@ def xyxy_to_xywh(df: DataFrame) -> DataFrame:
 
 
 def audit_detections(dets: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(one row of counts, rows that are errors). Odd sizes are counted and kept; errors are not."""
-    known = images.select("image_id", "width", "height", F.lit(True).alias("_known"))
+    """(one row of counts, rows that are errors). Odd sizes are counted and kept; errors are not.
+
+    A null class is unknown; an image row that is repeated counts once.
+    """
+    known = images.select("image_id", "width", "height", F.lit(True).alias("_known")).dropDuplicates(["image_id"])
     v = dets.join(known, "image_id", "left")
     bad_number = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf"))
     box = [bad_number(c) for c in "xywh"]
     v = v.withColumn(
         "issue",
         F.when(F.col("_known").isNull(), "unknown_image")
-        .when(~F.col("category_id").isin(*K.CATEGORIES), "unknown_category")
+        .when(F.col("category_id").isNull() | ~F.col("category_id").isin(*K.CATEGORIES), "unknown_category")
         .when(box[0] | box[1] | box[2] | box[3], "invalid_box")
         .when(bad_number("score") | (F.col("score") < 0) | (F.col("score") > 1), "invalid_score"),
     )
@@ -125,8 +128,12 @@ def audit_detections(dets: DataFrame, images: DataFrame) -> tuple[DataFrame, Dat
 
 
 def audit_objects(objects: DataFrame, images: DataFrame) -> DataFrame:
-    """Issue rows of the ground truth: (annotation_id, issue)."""
-    known = images.select("image_id", "width", "height", F.lit(True).alias("_known"))
+    """Issue rows of the ground truth: (annotation_id, issue); image issues carry the image's id in its place.
+
+    A box that is not finite is ``non_finite_box`` and judged no further. Image ids must be positive and
+    unique, annotation ids too.
+    """
+    known = images.select("image_id", "width", "height", F.lit(True).alias("_known")).dropDuplicates(["image_id"])
     v = objects.join(known, "image_id", "left")
     outside = (
         (F.col("x") < 0)
@@ -134,17 +141,25 @@ def audit_objects(objects: DataFrame, images: DataFrame) -> DataFrame:
         | (F.col("x") + F.col("w") > F.col("width"))
         | (F.col("y") + F.col("h") > F.col("height"))
     )
+    odd = F.lit(False)
+    for c in "xywh":
+        odd = odd | F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf"))
     checks = {
         "unknown_image": F.col("_known").isNull(),
-        "unknown_category": ~F.col("category_id").isin(*K.CATEGORIES),
-        "invalid_box": (F.col("w") <= 0) | (F.col("h") <= 0) | F.col("w").isNull() | F.col("h").isNull(),
-        "invalid_area": F.col("area").isNull() | (F.col("area") <= 0),
-        "out_of_bounds": outside,
+        "unknown_category": F.col("category_id").isNull() | ~F.col("category_id").isin(*K.CATEGORIES),
+        "non_positive_id": F.col("annotation_id").isNull() | (F.col("annotation_id") <= 0),
+        "non_finite_box": odd,
+        "invalid_box": ~odd & ((F.col("w") <= 0) | (F.col("h") <= 0)),
+        "invalid_area": F.col("area").isNull() | F.isnan("area") | (F.col("area") <= 0),
+        "out_of_bounds": ~odd & outside,
     }
     found = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in checks.items()]))
     rows = v.select("annotation_id", F.explode(found).alias("issue"))
     twice = objects.groupBy("annotation_id").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    return rows.unionByName(twice.select("annotation_id", F.lit("duplicate_id").alias("issue")))
+    per_image = images.groupBy("image_id").agg(F.count("*").alias("n"))
+    image_issue = F.array_compact(F.array(F.when(F.col("n") > 1, "duplicate_image_id"), F.when(F.col("image_id").isNull() | (F.col("image_id") <= 0), "non_positive_image_id")))
+    of_images = per_image.select(F.col("image_id").alias("annotation_id"), F.explode(image_issue).alias("issue"))
+    return rows.unionByName(twice.select("annotation_id", F.lit("duplicate_id").alias("issue"))).unionByName(of_images)
 
 
 SIGNATURE = ["image_id", "category_id", "x", "y", "w", "h"]
@@ -156,14 +171,16 @@ def dedup_objects(objects: DataFrame, signature: list[str] | None = None) -> tup
     The first id per signature comes from a map-side combined minimum, so many copies
     of one object never meet in one task.
     """
-    signature = signature or SIGNATURE
+    signature = signature or SIGNATURE + (["iscrowd"] if "iscrowd" in objects.columns else [])
     first = objects.groupBy(*signature).agg(F.min("annotation_id").alias("first_id"), F.count("*").alias("copies"))
-    keepers = first.select(F.col("first_id").alias("annotation_id"))
-    kept = objects.join(keepers, "annotation_id", "left_semi")
-    copies = objects.join(keepers, "annotation_id", "left_anti")
-    dropped = copies.join(first.where(F.col("copies") > 1), signature).select(
-        F.col("annotation_id").alias("dropped_id"), "first_id"
-    )
+    first = first.withColumnsRenamed({c: f"_s_{c}" for c in signature})
+    on = None
+    for c in signature:
+        same = F.col(c).eqNullSafe(F.col(f"_s_{c}"))
+        on = same if on is None else on & same
+    marked = objects.join(first, on)
+    kept = marked.where(F.col("annotation_id").eqNullSafe(F.col("first_id"))).select(*objects.columns)
+    dropped = marked.where(~F.col("annotation_id").eqNullSafe(F.col("first_id"))).select(F.col("annotation_id").alias("dropped_id"), "first_id")
     return kept, dropped
 
 

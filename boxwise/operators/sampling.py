@@ -14,7 +14,7 @@ from boxwise import constants as K
 from boxwise.functions.hashing import hash_rank, hash_uniform
 from boxwise.functions.labels import failure_group
 from boxwise.functions.risk import risk_bin, risk_weight
-from boxwise.operators.ranking import attach, global_position
+from boxwise.operators.ranking import attach, global_position, order_bucket, running_sums
 from boxwise.session import checkpoint
 
 
@@ -44,9 +44,9 @@ def stratified_split(images: DataFrame, n: int, strata=("timeofday", "scene"), s
     left = F.lit(n) - F.sum("base").over(everything)
     place = F.row_number().over(everything.orderBy(F.desc("rest"), *keys))
     quota = v.select(*keys, (F.col("base") + F.when(place <= left, 1).otherwise(0)).alias("quota"))
-    ranked = with_hash_rank(images, "dev_split", "image_id", seed).join(F.broadcast(quota), keys)
-    order = W.partitionBy(*keys).orderBy("hash_rank", "image_id")
-    return ranked.withColumn("_r", F.row_number().over(order)).select(
+    ranked = with_hash_rank(images, "dev_split", "image_id", seed).join(quota, keys).withColumn("_h", F.expr(_hash_value("hash_rank")))
+    placed = running_sums(ranked, keys, ["hash_rank", "image_id"], [order_bucket("_h")], {"_r": "1L"})
+    return placed.select(
         *images.columns, F.when(F.col("_r") <= F.col("quota"), "dev").otherwise("core").alias("assigned")
     )
 
@@ -69,9 +69,13 @@ def typed_quota_sample(
     max_class_fraction: float = K.MAX_CLASS_FRACTION,
     min_support: int = K.MIN_CLASS_SUPPORT,
     seed=K.SAMPLING_SEED,
+    strict: bool = True,
 ) -> DataFrame:
     """Fill group quotas in order by weighted priority; an image serves once, classes are capped.
 
+    A quota that can't be filled is an error that names group, selected and required rows; with
+    ``strict=False`` the shorter sample is returned, and ``shortfall`` tells what it lacks.
+
     Inside a group the best row per free image is taken in priority order. Rows before
     the first one that breaks a class cap are final; that class then closes and the rest
     of the group is chosen again. A cap fraction f lets at most 1/f classes close.
@@ -110,12 +114,19 @@ def typed_quota_sample(
             if stop is None:
                 break
             closed = closed + [stop["category_id"]]
-    return chosen
+        if need > 0 and strict:
+            raise ValueError(f"group {group}: {quota - need} rows of {quota} can be selected")
+    return chosen if chosen is not None else pool.limit(0)
 
 
-def _class_position(ranked: DataFrame) -> DataFrame:
-    from boxwise.operators.ranking import order_bucket, running_sums
+def shortfall(selection: DataFrame, required: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, required, selected) of groups or strata of which a selection has fewer rows than required."""
+    have = selection.groupBy(*keys).agg(F.count("*").alias("selected"))
+    out = required.select(*keys, "required").join(have, keys, "left").withColumn("selected", F.coalesce("selected", F.lit(0)))
+    return out.where(F.col("selected") < F.col("required"))
+
 
+def _class_position(ranked: DataFrame) -> DataFrame:
     return running_sums(ranked, ["category_id"], ["position"], [order_bucket("position")], {"class_position": "1"})
 
 
@@ -131,9 +142,12 @@ def matched_sample(
     strata: str = "joint",
     mode: str = "uniform",
     seed=K.SAMPLING_SEED,
+    strict: bool = True,
 ) -> DataFrame:
     """A control selection with the target's counts per stratum; an image serves once.
 
+    A stratum that can't be filled is an error unless ``strict=False``; ``shortfall`` lists such strata.
+
     Strata are filled scarcest first. ``mode``: ``weighted`` by risk-weighted priority,
     ``top_risk`` by highest risk with a hash jitter, ``uniform`` by hash alone. All images
     prefer the scarcer stratum, so the walk is a stable matching: each round every stratum
@@ -142,7 +156,7 @@ def matched_sample(
     keys = STRATA[strata]
     with_bin = lambda df: df.withColumn("risk_bin", risk_bin(F.col("risk_score")))
     required = with_bin(target).groupBy(*keys).agg(F.count("*").alias("required"))
-    pool = with_bin(risk).join(F.broadcast(required), keys)
+    pool = with_bin(risk).join(required, keys)
     label = F.concat_ws(":", F.lit("matched"), *[F.col(k).cast("string") for k in keys])
     if mode == "top_risk":
         priority = -F.col("risk_score") + hash_uniform(seed, label, F.col("annotation_id")) * 1e-12
@@ -157,7 +171,7 @@ def matched_sample(
     place = F.row_number().over(W.partitionBy(F.lit(0)).orderBy("scarcity", *keys))
     strata_order = sizes.select(*keys, place.alias("stratum"))
     alive = checkpoint(
-        pool.join(F.broadcast(strata_order), keys).select(
+        pool.join(strata_order, keys).select(
             "annotation_id", "image_id", "category_id", "scale", "risk_score", "risk_bin", "stratum", "required", priority.alias("priority")
         )
     )
@@ -166,14 +180,20 @@ def matched_sample(
         best = alive.groupBy("stratum", "image_id").agg(
             F.min(F.struct("priority", "annotation_id")).alias("b"), F.first("required").alias("required")
         )
-        order = W.partitionBy("stratum").orderBy("b")
-        claims = best.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= F.col("required"))
+        flat = best.select("stratum", "image_id", "required", "b", F.col("b.priority").alias("_p"), F.col("b.annotation_id").alias("_a"))
+        claims = running_sums(flat, ["stratum"], ["_p", "_a"], [order_bucket("_p", 4096)], {"_r": "1L"}).where(F.col("_r") <= F.col("required"))
         held = checkpoint(
             claims.groupBy("image_id").agg(F.min("stratum").alias("holder"), F.count("*").alias("claims"), F.min(F.struct("stratum", "b")).alias("first"))
         )
         if held.where(F.col("claims") > 1).isEmpty():
             winners = held.select(F.col("first.b.annotation_id").alias("annotation_id"), "holder")
-            return alive.join(winners, (alive.annotation_id == winners.annotation_id) & (alive.stratum == winners.holder), "left_semi").drop("required")
+            chosen = alive.join(winners, (alive.annotation_id == winners.annotation_id) & (alive.stratum == winners.holder), "left_semi").drop("required")
+            if strict:
+                chosen = checkpoint(chosen)
+                short = shortfall(chosen, required, keys).limit(20).collect()
+                if short:
+                    raise ValueError("strata that can't be filled: " + "; ".join(str(r.asDict()) for r in short))
+            return chosen
         alive = checkpoint(
             alive.join(held.select("image_id", "holder"), "image_id", "left")
             .where(F.col("holder").isNull() | (F.col("stratum") <= F.col("holder")))

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 from boxwise import constants as K
 from boxwise.functions.hashing import hash_uniform, little_endian_seed
 from boxwise.operators.precision import evaluate_cells, object_counts, summarize
-from boxwise.operators.ranking import attach, quantiles, running_sums
+from boxwise.operators.ranking import attach, order_bucket, quantiles, running_sums
 from boxwise.session import materialize
 
 
@@ -20,7 +20,7 @@ def bootstrap_weights(images: DataFrame, replicates: int, first: int = 0, seed=K
     Only drawn images appear; ``first`` continues a run in batches of replicates.
     """
     ids = images.select("image_id")
-    placed = running_sums(ids, [], ["image_id"], ["floor(image_id / 65536)"], {"place": "1L"})
+    placed = running_sums(ids, [], ["image_id"], [order_bucket("image_id", 4096)], {"place": "1L"})
     size = ids.agg(F.count("*").alias("n"))
     draws = attach(placed, size, []).select(
         "place", "n", F.explode(F.sequence(F.lit(first), F.lit(first + replicates - 1))).alias("replicate")
@@ -31,9 +31,9 @@ def bootstrap_weights(images: DataFrame, replicates: int, first: int = 0, seed=K
     return weights.join(placed, "place").select("replicate", "image_id", "weight")
 
 
-def bootstrap_metrics(cache: DataFrame, counts: DataFrame, weights: DataFrame) -> DataFrame:
-    """Summary metrics of one model per replicate, from its match cache."""
-    by = ["replicate"]
+def bootstrap_metrics(cache: DataFrame, counts: DataFrame, weights: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Summary metrics per replicate from match caches; ``by`` may add a model column that both carry."""
+    by = by or ["replicate"]
     cells = evaluate_cells(cache.join(weights, "image_id"), counts.join(weights, "image_id"), by, "weight")
     return summarize(cells, by)
 
@@ -61,18 +61,29 @@ def delta_summary(deltas: DataFrame, by: list[str]) -> DataFrame:
 
 
 def paired_bootstrap(
-    objects: DataFrame, images: DataFrame, caches: dict[str, DataFrame], reference: str, replicates: int, first: int = 0
+    objects: DataFrame, images: DataFrame, caches: dict[str, DataFrame], reference: str, replicates: int, first: int = 0, batch: int = 25
 ) -> DataFrame:
-    """Per-replicate metric deltas of every model against the reference, same weights for all."""
-    weights = materialize(bootstrap_weights(images, replicates, first))
-    counts = object_counts(objects)
-    base = bootstrap_metrics(caches[reference], counts, weights)
-    out = None
+    """Per-replicate metric deltas of every model against the reference, same weights for all.
+
+    All models are evaluated together with their name as a key, in batches of replicates; a batch's
+    deltas are written before the next begins, so its rows bound the work and a run can go on from ``first``.
+    """
+    tagged = None
     for name, cache in caches.items():
-        if name != reference:
-            d = metric_deltas(base, bootstrap_metrics(cache, counts, weights), ["replicate"])
-            d = d.withColumn("comparison", F.lit(f"{name}_minus_{reference}"))
-            out = d if out is None else out.unionByName(d)
+        one = cache.withColumn("model", F.lit(name))
+        tagged = one if tagged is None else tagged.unionByName(one)
+    names = F.array(*[F.lit(n) for n in caches])
+    counts = materialize(object_counts(objects)).withColumn("model", F.explode(names))
+    out = None
+    for start in range(first, first + replicates, batch):
+        weights = materialize(bootstrap_weights(images, min(batch, first + replicates - start), start))
+        scored = materialize(bootstrap_metrics(tagged, counts, weights, ["model", "replicate"]))
+        base = scored.where(F.col("model") == reference).drop("model")
+        for name in caches:
+            if name != reference:
+                d = metric_deltas(base, scored.where(F.col("model") == name).drop("model"), ["replicate"])
+                d = d.withColumn("comparison", F.lit(f"{name}_minus_{reference}"))
+                out = d if out is None else out.unionByName(d)
     return out
 
 

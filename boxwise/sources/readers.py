@@ -9,34 +9,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.types import StructType
 
 _COCO = """
 images array<struct<id: bigint, file_name: string, width: int, height: int,
   attributes: struct<weather: string, scene: string, timeofday: string>>>,
 annotations array<struct<id: bigint, image_id: bigint, category_id: int, bbox: array<double>,
-  area: double, iscrowd: int, occluded: boolean, truncated: boolean>>,
+  area: double, iscrowd: int, occluded: boolean, truncated: boolean,
+  attributes: struct<occluded: boolean, truncated: boolean>, segmentation: array<array<double>>>>,
 categories array<struct<id: int, name: string>>
 """
 _DETECTION = "struct<image_id: bigint, category_id: int, bbox: array<double>, score: double, segmentation: array<array<double>>>"
 
 
+def _present(column, message: str):
+    """A column that must not be null; a null ends the job with the message."""
+    return F.coalesce(column, F.raise_error(F.lit(message)))
+
+
 def _box(col: str):
     return [F.get(F.col(col), i).alias(n) for i, n in enumerate("xywh")]
 
 
 def read_coco(spark: SparkSession, path: str, multiline: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(images, objects, categories) of one annotation document."""
-    doc = spark.read.schema(_COCO).json(path, multiLine=multiline, mode="FAILFAST")
+    """(images, objects, categories) of annotation documents; several documents may repeat the categories.
+
+    A document that is broken or lacks one of the three arrays is an error. Flags are read from an
+    annotation's ``attributes`` or from the annotation itself.
+    """
+    read = spark.read.schema(_COCO).json(path, multiLine=multiline, mode="FAILFAST")
+    doc = read.select(*[_present(F.col(c), f"an annotation document lacks {c}").alias(c) for c in ("images", "annotations", "categories")])
     attribute = lambda n: F.coalesce(F.nullif(F.trim(F.col(f"attributes.{n}")), F.lit("")), F.lit("undefined")).alias(n)
     images = doc.select(F.inline("images")).select(
         F.col("id").alias("image_id"), "file_name", "width", "height", *[attribute(n) for n in ("weather", "scene", "timeofday")]
     )
     objects = doc.select(F.inline("annotations")).select(
         F.col("id").alias("annotation_id"), "image_id", "category_id", *_box("bbox"), "area",
-        F.coalesce("iscrowd", F.lit(0)).alias("iscrowd"), "occluded", "truncated",
+        F.coalesce("iscrowd", F.lit(0)).alias("iscrowd"),
+        *[F.coalesce(f"attributes.{c}", c).alias(c) for c in ("occluded", "truncated")], "segmentation",
     )
-    return images, objects, doc.select(F.inline("categories")).select(F.col("id").alias("category_id"), F.col("name").alias("category"))
+    categories = doc.select(F.inline("categories")).select(F.col("id").alias("category_id"), F.col("name").alias("category"))
+    return images, objects, categories.distinct()
 
 
 _BOX_LABELS = """
@@ -71,7 +85,7 @@ def read_polygon_labels(spark: SparkSession, folder: str, multiline: bool = True
 
     The ``attributes`` tag of an object may be a Python dict literal; flags are read by pattern.
     """
-    records = spark.read.schema(_POLYGON_LABELS).json(folder, multiLine=multiline).withColumn("file", F.input_file_name())
+    records = spark.read.schema(_POLYGON_LABELS).json(folder, multiLine=multiline, mode="FAILFAST").withColumn("file", F.input_file_name())
     tag = lambda col, n: F.get(F.filter(F.col(col), lambda t: t["name"] == n), F.lit(0))["value"]
     images = records.select("file", "size.width", "size.height", *[tag("tags", n).alias(n) for n in ("weather", "scene", "timeofday")])
     o = records.select("file", F.posexplode("objects").alias("object_index", "o")).select("file", "object_index", "o.*")
@@ -87,30 +101,47 @@ def read_polygon_labels(spark: SparkSession, folder: str, multiline: bool = True
 
 
 def read_detections(spark: SparkSession, path: str, model: str, one_per_line: bool = False) -> DataFrame:
-    """Detections of a bare list or {"predictions": [...]}; the list position is kept."""
-    text = spark.read.text(path, wholetext=not one_per_line)
-    listed = F.from_json("value", f"array<{_DETECTION}>")
-    named = F.from_json("value", f"predictions array<{_DETECTION}>")["predictions"]
-    rows = F.when(F.ltrim("value").startswith("["), listed).otherwise(named)
-    d = text.select(F.posexplode(rows).alias("prediction_index", "d")).select("prediction_index", "d.*")
+    """Detections of a bare list or {"predictions": [...]}; the list position is kept.
+
+    The position counts from 0 in each document, so it is unique in one document only; ``number_detections``
+    makes it unique by image. A broken document, or one without such a list, is an error.
+    """
+    text = spark.read.text(path, wholetext=not one_per_line).where(F.trim("value") != "")
+    strict = {"mode": "FAILFAST"}
+    listed = F.from_json("value", f"array<{_DETECTION}>", strict)
+    named = F.from_json("value", f"predictions array<{_DETECTION}>", strict)["predictions"]
+    rows = _present(F.when(F.ltrim("value").startswith("["), listed).otherwise(named), "a detection document has no list")
+    d = text.select(F.xxhash64(F.col("_metadata.file_path"), "value").alias("document"), F.posexplode(rows).alias("prediction_index", "d")).select("document", "prediction_index", "d.*")
     return d.select(
+        "document",
         F.lit(model).alias("model"), F.col("prediction_index").cast("long").alias("prediction_index"), "image_id", "category_id", "score",
         *_box("bbox"), F.col("segmentation").alias("polygons"),
     )
 
 
-def read_norm_labels(spark: SparkSession, folder: str) -> DataFrame:
-    """Normalised label lines of a folder with one text file per image; odd lines are dropped."""
-    raw = spark.read.text(folder).select(F.input_file_name().alias("file"), F.split(F.trim("value"), r"\s+").alias("p"))
+def number_detections(dets: DataFrame) -> DataFrame:
+    """Detections of several documents with an index of its own for each one of an image: (image_id, prediction_index) is a key."""
+    order = W.partitionBy("model", "image_id").orderBy("document", "prediction_index")
+    return dets.withColumn("prediction_index", (F.row_number().over(order) - 1).cast("long")).drop("document")
+
+
+def read_norm_labels(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected lines) of a folder of normalised label files, one per image.
+
+    A line is a class and a box in at least five fields; the class may be written as a whole number with a
+    fraction of zero. Blank lines are skipped; all other lines are in the second table with name and text.
+    """
+    raw = spark.read.text(folder).where(F.trim("value") != "").select(F.input_file_name().alias("file"), "value", F.split(F.trim("value"), r"\s+").alias("p"))
     number = lambda i: F.get(F.col("p"), i).try_cast("double")
-    rows = raw.where(F.size("p") == 5).select(
-        F.regexp_extract("file", r"([^/]+)\.[^./]*$", 1).alias("name"), F.get(F.col("p"), 0).try_cast("int").alias("class_index"),
+    rows = raw.select(
+        F.regexp_extract("file", r"([^/]+)\.[^./]*$", 1).alias("name"), "value", F.when(number(0) == F.floor(number(0)), number(0).try_cast("int")).alias("class_index"),
         number(1).alias("cx"), number(2).alias("cy"), number(3).alias("nw"), number(4).alias("nh"),
     )
     finite = F.lit(True)
     for c in ("cx", "cy", "nw", "nh"):
         finite = finite & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
-    return rows.where(F.col("class_index").isNotNull() & finite & (F.col("nw") > 0) & (F.col("nh") > 0))
+    good = F.coalesce(F.col("class_index").isNotNull() & finite & (F.col("nw") > 0) & (F.col("nh") > 0), F.lit(False))
+    return rows.where(good).drop("value"), rows.where(~good).select("name", F.col("value").alias("line"))
 
 
 # Names under which an id list may be stored.
@@ -118,17 +149,23 @@ ID_LIST_NAMES = ("image_ids", "annotation_ids", "ids", "train_core_image_ids", "
 
 
 def read_id_set(spark: SparkSession, path: str, name: str = "image_id", one_per_line: bool = False) -> DataFrame:
-    """Ids of a bare list, a named list, or the only list of a document; elements may be {id}."""
+    """Ids of a bare list, a named list, or the only list of a document; elements may be {id}.
+
+    A broken document, one without a list, an element that is no id, and a repeated id are errors.
+    """
     value = F.ltrim("value")
-    text = spark.read.text(path, wholetext=not one_per_line).select(value.alias("value"))
-    members = F.from_json("value", "map<string,string>")
+    text = spark.read.text(path, wholetext=not one_per_line).select(value.alias("value")).where("value <> ''")
+    members = F.when(~F.col("value").startswith("["), F.from_json("value", "map<string,string>", {"mode": "FAILFAST"}))
     named = F.coalesce(*[F.try_element_at(members, F.lit(n)) for n in ID_LIST_NAMES])
     lists = F.map_values(F.map_filter(members, lambda _, v: v.startswith("[")))
     only = F.when(F.size(lists) == 1, F.get(lists, F.lit(0)))
     body = F.when(F.col("value").startswith("["), F.col("value")).otherwise(F.coalesce(named, only))
-    items = text.select(F.explode(F.from_json(body, "array<string>")).alias("item"))
+    listed = F.from_json(_present(body, "an id document has no list"), "array<string>", {"mode": "FAILFAST"})
+    items = text.select(F.explode(listed).alias("item"))
     nested = F.coalesce(F.get_json_object("item", "$.id"), F.col("item"))
-    return items.select(nested.cast("long").alias(name))
+    ids = items.select(_present(nested.try_cast("long"), "an element of an id list is no id").alias(name))
+    copies = ids.groupBy(name).agg(F.count("*").alias("copies"))
+    return copies.select(F.when(F.col("copies") == 1, F.col(name)).otherwise(F.raise_error(F.concat(F.lit("repeated id "), F.col(name)))).alias(name))
 
 
 def repeated_ids(ids: DataFrame, name: str = "image_id") -> DataFrame:
