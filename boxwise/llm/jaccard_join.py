@@ -14,7 +14,8 @@ Signatures are dealt to buckets in packed rows. Sets that share a signature are
 each with the smallest of its group first; groups of at most ``HOT`` sets give their other pairs, which are verified
 only where they would join components. A larger group's signature is skipped, which a set can afford
 as long as H + 1 of its segments remain; sets that can't are compared exactly, block by block,
-within families of such groups, unless they are in one component by then. All links are verified on the sets.
+within families of such groups, unless they are in one component by then. Parity sketches turn down candidates that differ
+in too many shingles for certain, and all links are verified on the sets.
 
 Edge cases: null text, empty text and text without words have an empty set and link with
 nothing (component: own id); null ids link as any row but are never a component's id (null if
@@ -145,60 +146,117 @@ def signatures(g: np.ndarray, bounds: np.ndarray, edges: np.ndarray, percent: in
     return np.concatenate(sigs), np.concatenate(owners), spare
 
 
+def sketches(g: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Parity sketch of every set: a bit per cell tells whether an odd number of shingles falls on it.
+
+    There are at least as many cells as shingles, and a power of two. Two sketches differ in no more bits
+    than the sets differ in shingles.
+    """
+    n = np.diff(bounds)
+    cells = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    start = np.concatenate([[0], np.cumsum(cells)])
+    place = (mix(g ^ U(0x2545F4914F6CDD1D)) & (np.repeat(cells, n) - 1).astype(U)).astype(np.int64)
+    odd = np.bincount(np.repeat(start[:-1], n) + place, minlength=int(start[-1])).astype(np.uint8) & 1
+    packed = np.packbits(odd, bitorder="little").tobytes()
+    return [packed[a >> 3 : b >> 3] for a, b in zip(start[:-1].tolist(), start[1:].tolist())]
+
+
+def may_link(n: int, x: bytes, m: int, y: bytes) -> bool:
+    """Whether sets with these sizes and sketches can link; no linked pair is turned down."""
+    a, b = (int.from_bytes(v, "little") for v in (x, y))
+    while len(x) != len(y):  # the longer sketch is folded: its halves are added, cell by cell
+        if len(x) < len(y):
+            x, y, a, b = y, x, b, a
+        half = len(x) // 2
+        a, x = (a & ((1 << 8 * half) - 1)) ^ (a >> 8 * half), x[:half]
+    return (a ^ b).bit_count() <= (100 - PERCENT) * (n + m) // (100 + PERCENT)
+
+
+def possible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """The pairs (a, b, ...) whose sketches do not rule a link out; ``facts`` has (k, n, sketch) of every set."""
+    side = lambda c: facts.select(F.col("k").alias(c), F.struct("n", "sketch").alias(f"_{c}"))
+    names = pairs.columns
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [may_link(x["n"], x["sketch"], y["n"], y["sketch"]) for x, y in zip(b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist())]
+            keep = pa.array(ok, pa.bool_())
+            yield batch(names, [c.filter(keep) for c in b.columns[: len(names)]])
+
+    return map_arrow(pairs.join(side("a"), "a").join(side("b"), "b").select(*names, "_a", "_b"), run, kinds)
+
+
 def set_table(docs: DataFrame) -> DataFrame:
-    """(id, n, k): size and key of every text's set."""
+    """(id, n, k, sketch): size, key and parity sketch of every text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, k = [], []
+            n, k, sketch = [], [], []
             for _, _, g, bounds in sets(b.column(1)):
                 n.append(np.diff(bounds))
                 k.append(set_keys(g, bounds).astype(np.int64))
-            yield batch(["id", "n", "k"], [b.column(0), np.concatenate(n) if n else np.zeros(0, np.int64), np.concatenate(k) if k else np.zeros(0, np.int64)])
+                sketch += sketches(g, bounds)
+            yield batch(["id", "n", "k", "sketch"], [b.column(0), np.concatenate(n) if n else np.zeros(0, np.int64), np.concatenate(k) if k else np.zeros(0, np.int64), pa.array(sketch, pa.binary())])
 
-    return map_arrow(docs, run, "id bigint, n bigint, k bigint")
+    return map_arrow(docs, run, "id bigint, n bigint, k bigint, sketch binary")
+
+
+_ENTRY = np.dtype([("high", "<u4"), ("low", "<u2"), ("owner", "<u2")])
 
 
 def packed_signatures(docs: DataFrame, edges: np.ndarray, buckets: int) -> DataFrame:
-    """(bucket, members, sigs, owners): the signatures of a batch of texts, packed by bucket."""
+    """(bucket, members, entries): the signatures of a batch of texts, packed by bucket.
+
+    48 bits of a signature are kept; sets that meet in a bucket by chance are told apart when verified.
+    """
+
+    def pack(parts: list, members: list) -> pa.RecordBatch:
+        member = np.concatenate(members)
+        sig, owner = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        _, first, same = np.unique(member[:, 0], return_index=True, return_inverse=True)
+        once = first[same[owner]] == owner  # copies of a set among these texts count once
+        sig, owner = sig[once], owner[once]
+        bucket = ((sig >> U(1)) % U(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        sig, owner, bucket = sig[order], owner[order], bucket[order]
+        entry = np.zeros(len(sig), _ENTRY)
+        entry["high"], entry["low"] = sig >> U(32), (sig >> U(16)) & U(0xFFFE) | (sig & U(1))
+        cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+        rows = []
+        for s, e in zip(cut, [*cut[1:], len(sig)]):
+            who, new = np.unique(owner[s:e], return_inverse=True)
+            own = entry[s:e].copy()
+            own["owner"] = new
+            rows.append((int(bucket[s]), member[who].tobytes(), own.tobytes()))
+        return batch(["bucket", "members", "entries"], [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts, members, at = [], [], 0
-            for _, _, g, bounds in sets(b.column(0)):
-                sig, owner, spare = signatures(g, bounds, edges)
-                members.append(np.column_stack([set_keys(g, bounds).astype(np.int64), np.diff(bounds), spare]))
-                parts.append((sig, owner + at))
-                at += len(bounds) - 1
-            if not at:
-                continue
-            member = np.concatenate(members)
-            sig, owner = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-            _, first, same = np.unique(member[:, 0], return_index=True, return_inverse=True)
-            once = first[same[owner]] == owner  # copies of a set inside a batch count once
-            sig, owner = sig[once], owner[once].astype(np.int32)
-            bucket = (sig >> U(1)) % U(buckets)
-            order = np.argsort(bucket, kind="stable")
-            sig, owner, bucket = sig[order], owner[order], bucket[order].astype(np.int64)
-            cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-            rows = []
-            for s, e in zip(cut, [*cut[1:], len(sig)]):
-                who, new = np.unique(owner[s:e], return_inverse=True)
-                rows.append((int(bucket[s]), member[who].tobytes(), sig[s:e].tobytes(), new.astype(np.int32).tobytes()))
-            yield batch(["bucket", "members", "sigs", "owners"], [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))])
-
-    return map_arrow(docs.select("text"), run, "bucket int, members binary, sigs binary, owners binary")
+            for first in range(0, b.num_rows, 30_000):  # members are numbered in 16 bits
+                for _, _, g, bounds in sets(b.column(0).slice(first, 30_000)):
+                    sig, owner, spare = signatures(g, bounds, edges)
+                    members.append(np.column_stack([set_keys(g, bounds).astype(np.int64), np.diff(bounds), spare]))
+                    parts.append((sig, owner + at))
+                    at += len(bounds) - 1
+                if at:
+                    yield pack(parts, members)
+                parts, members, at = [], [], 0
+
+    return map_arrow(docs.select("text"), run, "bucket int, members binary, entries binary")
 
 
 def shared_signatures(packed: DataFrame, parts: int) -> DataFrame:
     """(kind, a, b, sig): kind 0, a set and the smallest of its group; 1, another pair; 2, a member (a; b: what it can spare) of a hot group."""
 
     def found(rows: list[tuple]) -> pa.RecordBatch:
-        members = [np.frombuffer(m, np.int64).reshape(-1, 4) for _, m, _, _ in rows]
+        members = [np.frombuffer(m, np.int64).reshape(-1, 4) for _, m, _ in rows]
         start = np.concatenate([[0], np.cumsum([len(m) for m in members])])
         member = np.concatenate(members)
-        sig = np.concatenate([np.frombuffer(s, U) for _, _, s, _ in rows])
-        owner = np.concatenate([np.frombuffer(o, np.int32).astype(np.int64) + at for (_, _, _, o), at in zip(rows, start)])
+        entries = [np.frombuffer(e, _ENTRY) for _, _, e in rows]
+        sig = np.concatenate([e["high"].astype(U) << U(16) | e["low"].astype(U) for e in entries])
+        owner = np.concatenate([e["owner"].astype(np.int64) + at for e, at in zip(entries, start)])
         order = np.argsort(sig, kind="stable")
         sig, owner = sig[order], owner[order]
         same = sig[1:] == sig[:-1]
@@ -231,6 +289,7 @@ def shared_signatures(packed: DataFrame, parts: int) -> DataFrame:
         hot = np.flatnonzero(np.repeat(size > HOT, size))
         spare = member[owner[hot], 2 + (sig[hot] & U(1)).astype(np.int64)]
         kind = np.concatenate([pair[:, 0], np.full(len(hot), 2)])
+        sig = sig | U(rows[0][0]) << U(48)  # a hot signature is known by its bucket too
         a, c = np.concatenate([pair[:, 1], key[hot]]), np.concatenate([pair[:, 2], spare])
         return batch(["kind", "a", "b", "sig"], [pa.array(kind, pa.int32()), a, c, np.concatenate([np.zeros(len(pair), np.int64), sig[hot].astype(np.int64)])])
 
@@ -355,7 +414,8 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(facts.total * 0.65 / BUCKET))
         packed = packed_signatures(docs, bands(facts.largest), 2 * parts)
         shared = materialize(shared_signatures(packed, parts))
-        pairs = shared.filter("kind < 2").groupBy("a", "b").agg(F.min("kind").alias("kind"))
+        facts_of = materialize(rows.filter("n > 0").select("k", "n", "sketch").dropDuplicates(["k"]))
+        pairs = possible(shared.filter("kind < 2").groupBy("a", "b").agg(F.min("kind").alias("kind")), facts_of)
         hot = shared.filter("kind = 2").select(F.col("a").alias("k"), F.col("b").alias("spare"), "sig")
         poor = hot.groupBy("k", (F.col("sig") % 2 != 0).alias("odd")).agg(F.count("*").alias("n"), F.min("spare").alias("spare")).filter("n > spare").select("k").distinct()
         pairs, poor = materialize(pairs), materialize(poor)
