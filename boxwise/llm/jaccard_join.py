@@ -46,6 +46,8 @@ DELETE = 3
 HOT = 16
 #: Sets of one side of an exact comparison.
 BLOCK = 300
+#: Signatures that a task packs at a time.
+FLUSH = 1_000_000
 #: Signatures that one task compares.
 BUCKET = 3_000_000
 KEY_BITS = 24
@@ -163,6 +165,8 @@ def sketches(g: np.ndarray, bounds: np.ndarray) -> list[bytes]:
 
 def may_link(n: int, x: bytes, m: int, y: bytes) -> bool:
     """Whether sets with these sizes and sketches can link; no linked pair is turned down."""
+    if 100 * min(n, m) < PERCENT * max(n, m):
+        return False
     a, b = (int.from_bytes(v, "little") for v in (x, y))
     while len(x) != len(y):  # the longer sketch is folded: its halves are added, cell by cell
         if len(x) < len(y):
@@ -202,6 +206,7 @@ def set_table(docs: DataFrame) -> DataFrame:
     return map_arrow(docs, run, "id bigint, n bigint, k bigint, sketch binary")
 
 
+_MEMBER = np.dtype([("k", "<i8"), ("even", "<i2"), ("odd", "<i2")])
 _ENTRY = np.dtype([("high", "<u4"), ("low", "<u2"), ("owner", "<u2")])
 
 
@@ -214,7 +219,7 @@ def packed_signatures(docs: DataFrame, edges: np.ndarray, buckets: int) -> DataF
     def pack(parts: list, members: list) -> pa.RecordBatch:
         member = np.concatenate(members)
         sig, owner = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-        _, first, same = np.unique(member[:, 0], return_index=True, return_inverse=True)
+        _, first, same = np.unique(member["k"], return_index=True, return_inverse=True)
         once = first[same[owner]] == owner  # copies of a set among these texts count once
         sig, owner = sig[once], owner[once]
         bucket = ((sig >> U(1)) % U(buckets)).astype(np.int64)
@@ -233,16 +238,22 @@ def packed_signatures(docs: DataFrame, edges: np.ndarray, buckets: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts, members, at = [], [], 0
+            parts, members, at, held = [], [], 0, 0
             for first in range(0, b.num_rows, 30_000):  # members are numbered in 16 bits
                 for _, _, g, bounds in sets(b.column(0).slice(first, 30_000)):
                     sig, owner, spare = signatures(g, bounds, edges)
-                    members.append(np.column_stack([set_keys(g, bounds).astype(np.int64), np.diff(bounds), spare]))
+                    member = np.zeros(len(bounds) - 1, _MEMBER)
+                    member["k"], member["even"], member["odd"] = set_keys(g, bounds).astype(np.int64), spare[:, 0], spare[:, 1]
+                    members.append(member)
                     parts.append((sig, owner + at))
                     at += len(bounds) - 1
+                    held += len(sig)
+                    if held > FLUSH:
+                        yield pack(parts, members)
+                        parts, members, at, held = [], [], 0, 0
                 if at:
                     yield pack(parts, members)
-                parts, members, at = [], [], 0
+                parts, members, at, held = [], [], 0, 0
 
     return map_arrow(docs.select("text"), run, "bucket int, members binary, entries binary")
 
@@ -251,7 +262,7 @@ def shared_signatures(packed: DataFrame, parts: int) -> DataFrame:
     """(kind, a, b, sig): kind 0, a set and the smallest of its group; 1, another pair; 2, a member (a; b: what it can spare) of a hot group."""
 
     def found(rows: list[tuple]) -> pa.RecordBatch:
-        members = [np.frombuffer(m, np.int64).reshape(-1, 4) for _, m, _ in rows]
+        members = [np.frombuffer(m, _MEMBER) for _, m, _ in rows]
         start = np.concatenate([[0], np.cumsum([len(m) for m in members])])
         member = np.concatenate(members)
         entries = [np.frombuffer(e, _ENTRY) for _, _, e in rows]
@@ -264,7 +275,7 @@ def shared_signatures(packed: DataFrame, parts: int) -> DataFrame:
         shared[1:] |= same
         shared[:-1] |= same
         sig, owner = sig[shared], owner[shared]
-        key = member[owner, 0]
+        key = member["k"][owner]
         order = np.lexsort((key, sig))
         sig, owner, key = sig[order], owner[order], key[order]
         fresh = np.ones(len(sig), bool)
@@ -272,10 +283,8 @@ def shared_signatures(packed: DataFrame, parts: int) -> DataFrame:
         sig, owner, key = sig[fresh], owner[fresh], key[fresh]
         cut = np.flatnonzero(np.diff(sig, prepend=~sig[:1]))
         size = np.diff(np.append(cut, len(sig)))
-        n = member[owner, 1]
-        fits = lambda i, j: 100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])
         pivot = np.repeat(cut, size)
-        star = np.flatnonzero((np.arange(len(sig)) != pivot) & fits(np.arange(len(sig)), pivot))
+        star = np.flatnonzero(np.arange(len(sig)) != pivot)
         pairs = [np.column_stack([np.zeros(len(star), np.int64), key[pivot[star]], key[star]])]
         small = (size > 2) & (size <= HOT)
         for k in np.unique(size[small]):
@@ -283,11 +292,10 @@ def shared_signatures(packed: DataFrame, parts: int) -> DataFrame:
             i, j = np.triu_indices(k, 1)
             i, j = i[k - 1 :], j[k - 1 :]  # pairs without the smallest
             a, c = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
-            ok = fits(a, c)
-            pairs.append(np.column_stack([np.ones(ok.sum(), np.int64), key[a[ok]], key[c[ok]]]))
+            pairs.append(np.column_stack([np.ones(len(a), np.int64), key[a], key[c]]))
         pair = np.unique(np.concatenate(pairs), axis=0)
         hot = np.flatnonzero(np.repeat(size > HOT, size))
-        spare = member[owner[hot], 2 + (sig[hot] & U(1)).astype(np.int64)]
+        spare = np.where(sig[hot] & U(1) > 0, member["odd"][owner[hot]], member["even"][owner[hot]]).astype(np.int64)
         kind = np.concatenate([pair[:, 0], np.full(len(hot), 2)])
         sig = sig | U(rows[0][0]) << U(48)  # a hot signature is known by its bucket too
         a, c = np.concatenate([pair[:, 1], key[hot]]), np.concatenate([pair[:, 2], spare])

@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,11 +51,9 @@ _LETTER = regex.compile(r"\p{L}")
 
 def vectors(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
     """(first row, last row, counts) of row ranges; counts has a row per text and DIMS columns."""
-    low = pa.array([(x or "").lower() for x in column.to_pylist()], pa.large_string())
-    buf, offs = text_bytes(low)
-    for a, b in slices(offs, 1 << 20):
-        for c in range(a, b, 256):
-            d = min(b, c + 256)
+    for at in range(0, len(column), 256):  # few texts at a time, so that a task's memory stays small
+        buf, offs = text_bytes(pc.utf8_lower(column.slice(at, 256)))
+        for c, d in slices(offs, 4 << 20):
             part, o = _CLASS[buf[offs[c] : offs[d]]], offs[c : d + 1] - offs[c]
             out = np.zeros((d - c, DIMS), np.float32)
             if len(part) > 2:
@@ -66,7 +65,7 @@ def vectors(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
                 ok = (row[:-2] == row[2:]) & ~((part[:-2] == 32) & (part[1:-1] == 32))
                 key = row[:-2][ok] * DIMS + g[ok]
                 out = np.bincount(key, minlength=(d - c) * DIMS).astype(np.float32).reshape(d - c, DIMS)
-            yield c, d, out
+            yield at + c, at + d, out
 
 
 def scaled(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
