@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ HELD = 5
 #: Ids of trusted rows up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Distinct n-grams that a task gathers before it hands them on.
-FLUSH = 2_000_000
+FLUSH = 500_000
 
 
 def keys(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -44,15 +45,19 @@ def keys(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
 
     The byte that ends the n-gram is the lowest one of the key; before a text stand zeros.
     """
-    low = pa.array([(x or "").lower() for x in column.to_pylist()], pa.large_string())
-    buf, offs = text_bytes(low)
-    for a, b in slices(offs, 4 << 20):
-        part, o = buf[offs[a] : offs[b]].astype(np.uint64), offs[a : b + 1] - offs[a]
-        place = np.arange(len(part)) - np.repeat(o[:-1], np.diff(o))
-        out = part.copy()
-        for k in range(1, ORDER):
-            out[k:] |= np.where(place[k:] >= k, part[:-k], np.uint64(0)) << np.uint64(8 * k)
-        yield a, b, out, o
+    for at in range(0, len(column), 256):  # few texts at a time, so that a task's memory stays small
+        buf, offs = text_bytes(pc.utf8_lower(column.slice(at, 256)))
+        for a, b in slices(offs, 1 << 20):
+            part, o = buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
+            out = part.astype(np.uint64)
+            for k in range(1, ORDER):
+                before = np.zeros(len(part), np.uint8)
+                before[k:] = part[:-k]
+                for i in range(k):  # the first k bytes of a text have nothing so far before them
+                    first = o[:-1] + i
+                    before[first[first < o[1:]]] = 0
+                out |= before.astype(np.uint64) << np.uint64(8 * k)
+            yield at + a, at + b, out, o
 
 
 def counts(trusted: DataFrame) -> DataFrame:
