@@ -37,7 +37,7 @@ def _keys(text: str) -> str:
     """Structs (level, hash) of a text: 0 whole, 1 paragraph, 2 line; too short lines are left out."""
     part = lambda level, sep, least: rf"transform(filter(transform(split({text}, '{sep}'), x -> {_normal('x')}), x -> x <> '' and size(split(x, ' ')) >= {least}), x -> struct({level} as level, sha2(x, 256) as h))"
     whole = f"transform(filter(array({_normal(text)}), x -> x <> ''), x -> struct(0 as level, sha2(x, 256) as h))"
-    return f"array_distinct(concat({whole}, {part(1, r'\\n\\s*\\n', 1)}, {part(2, r'\\n', WORDS)}))"
+    return f"concat({whole}, {part(1, r'\\n\\s*\\n', 1)}, {part(2, r'\\n', WORDS)})"
 
 
 def passages(df: DataFrame, text: str = "text") -> DataFrame:
@@ -89,7 +89,8 @@ def conversations(df: DataFrame) -> DataFrame:
     """Messages without quotes, linked to what they answer; all columns of ``df`` are carried."""
     if clash := set(OUT) & set(df.columns):
         raise ValueError(f"columns are named {sorted(clash)} already")
-    parsed = passages(df)
+    # stored, as three steps read it and so that no later step takes lines apart again for each of them
+    parsed = materialize(passages(df))
     found = materialize(links(parsed))
     per = found.groupBy("conv_id", "turn").agg(F.count("*").alias("n_linked"), F.min_by(F.struct("to_conv", "to_turn"), F.struct("level", "part", -F.col("to_turn"))).alias("to"))
     per = materialize(per.select("conv_id", "turn", "n_linked", "to.to_conv", "to.to_turn"))
