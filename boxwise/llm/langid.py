@@ -175,12 +175,15 @@ def fit(df: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_
     for r in map_arrow(rows.select("text"), histogram, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         table[r.cell] = r.n
     table = table.reshape(BINS, STEPS)
+    floors = np.full(BINS, np.inf)
     for i in range(BINS):
         counts = table[max(0, i - NEAR) : i + NEAR + 1].sum(axis=0)
         if (size := counts.sum()) > 0:
-            model.floors[i] = REJECT_SHARE * np.searchsorted(np.cumsum(counts), REJECT_QUANTILE * size, side="right") / STEPS
-    seen = np.flatnonzero(table.sum(axis=1))
-    model.floors[: seen[-1] + 1] = np.minimum.accumulate(model.floors[: seen[-1] + 1][::-1])[::-1]
+            floors[i] = REJECT_SHARE * np.searchsorted(np.cumsum(counts), REJECT_QUANTILE * size, side="right") / STEPS
+    # lengths that no training row has take the floor of the next longer one that some have, else of the longest
+    last = floors[np.isfinite(floors)][-1]
+    floors[np.flatnonzero(np.isfinite(floors))[-1] :] = last
+    model.floors[:] = np.minimum.accumulate(floors[::-1])[::-1]
     return model
 
 
