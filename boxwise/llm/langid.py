@@ -33,6 +33,8 @@ from boxwise.llm.common import batch, map_arrow, slices, text_bytes
 DIMS = 4096
 SAMPLE = 500
 SAMPLE_ROWS = 20_000
+#: Most languages; more are an error.
+LABELS = 1000
 CENTROIDS = 5
 ROUNDS = 12
 REJECT_QUANTILE = 0.001
@@ -134,9 +136,12 @@ def fit(df: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_
         return None
     idf = np.log((1 + n) / (1 + np.array([counted.get(i, 0) for i in range(DIMS)], np.float32))).astype(np.float32) + 1
 
-    sizes = rows.groupBy("label").count()
+    sizes = {r.label: r["count"] for r in rows.groupBy("label").count().limit(LABELS + 1).collect()}
+    if len(sizes) > LABELS:
+        raise ValueError(f"more than {LABELS} languages")
+    share = F.create_map(*[F.lit(x) for label, count in sizes.items() for x in (label, sample / count)])
     mark = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.withColumn("mark", mark).join(sizes, "label").filter(F.col("mark") * F.col("count") < sample).select("text", "label", "mark", "key").limit(SAMPLE_ROWS)
+    picked = rows.withColumn("mark", mark).filter(F.col("mark") < share[F.col("label")]).select("text", "label", "mark", "key")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -148,7 +153,7 @@ def fit(df: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_
             yield batch(["label", "mark", "key", "data"], [b.column(1), b.column(2), b.column(3), pa.array(out, pa.binary())])
 
     kind = df.schema[key].dataType.simpleString()
-    found = sorted(map_arrow(picked, sparse, f"label string, mark double, key {kind}, data binary").collect(), key=lambda r: (r.label, r.mark, str(r.key), bytes(r.data)))
+    found = sorted(map_arrow(picked, sparse, f"label string, mark double, key {kind}, data binary").limit(SAMPLE_ROWS).collect(), key=lambda r: (r.label, r.mark, str(r.key), bytes(r.data)))
     labels, owner, centroids = sorted({r.label for r in found}), [], []
     for k, name in enumerate(labels):
         own = [np.frombuffer(r.data, "<u4").reshape(2, -1) for r in found if r.label == name]
