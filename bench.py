@@ -46,6 +46,13 @@ def main() -> None:
         "win5_threshold_grid",
         "agg16_coco_eval",
         "agg17_coco_eval_per_class",
+        "agg18_coco_eval_by_condition",
+        "agg19_subset_recovery",
+        "st1_paired_bootstrap",
+        "agg20_exposure_summary",
+        "agg22_crop_context",
+        "smp5_typed_quota_sample",
+        "smp6_matched_sample",
     ]
     for name in jobs:
         timed(name, lambda: QUERIES[name](spark, folder))

@@ -39,7 +39,11 @@ def read_coco(spark: SparkSession, path: str, multiline: bool = True) -> tuple[D
     annotation's ``attributes`` or from the annotation itself.
     """
     read = spark.read.schema(_COCO).json(path, multiLine=multiline, mode="FAILFAST")
-    doc = read.select(*[_present(F.col(c), f"an annotation document lacks {c}").alias(c) for c in ("images", "annotations", "categories")])
+    parts = ("images", "annotations", "categories")
+    lacks = F.filter(F.array(*[F.when(F.col(c).isNull(), c) for c in parts]), lambda x: x.isNotNull())
+    checked = F.when(F.size(lacks) > 0, F.raise_error(F.concat(F.lit("an annotation document lacks "), F.array_join(lacks, ", "))))
+    # each part carries the check of all, as a plan may read one of them only
+    doc = read.select(*[F.coalesce(checked.cast(read.schema[c].dataType), F.col(c)).alias(c) for c in parts])
     attribute = lambda n: F.coalesce(F.nullif(F.trim(F.col(f"attributes.{n}")), F.lit("")), F.lit("undefined")).alias(n)
     images = doc.select(F.inline("images")).select(
         F.col("id").alias("image_id"), "file_name", "width", "height", *[attribute(n) for n in ("weather", "scene", "timeofday")]
