@@ -15,6 +15,8 @@ from boxwise.llm import bpe, catalog, decontaminate, jaccard_join, langid, surro
 from boxwise.session import materialize, shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Ids that are broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 #: SQL has no counterpart of language centroids, keyed surrogates or merges; the stages are tested against brute force.
 ORACLE_SQL = None
 
@@ -32,8 +34,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     linked to a document with an id.
     """
     found = jaccard_join.join(docs)
-    keep = materialize(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct())
-    kept = docs.select(*COLUMNS).join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    least = found.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
+    gone = materialize(least.filter("not stays").select(F.col("doc_id").alias("_gone")))
+    # ids that go are few; sent to all tasks up to a checked number, they spare the texts a shuffle
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    kept = docs.select(*COLUMNS).join(side, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
     repeated = materialize(docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"))
     if repeated.isEmpty():
         return kept
