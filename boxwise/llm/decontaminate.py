@@ -1,11 +1,12 @@
 """Benchmark decontamination (operator 3).
 
-Words are lower-cased, without punctuation. Seeds are word n-grams of the benchmark that are rare in the documents: their occurrences are counted
-over all texts, and of every ``WINDOW`` neighbouring n-grams of an item the rarest is a seed, so that
-each part of an item has one. Documents are looked through for seeds with a bit table of fixed
-size; hits that lie close make a passage, cut out with a margin of the longest item. Passages join
-items on the seed, and each pair is aligned by Smith-Waterman over words (match 2, mismatch -1, gap -1). A pair whose
-score is at least ``SHARE`` of a full match of the item is a leak.
+Words are lower-cased, without punctuation. An item and a passage are aligned by Smith-Waterman over words (match 2,
+mismatch -1, gap -1); a score of at least ``SHARE`` of a full match of the item is a leak. Such an alignment has few
+errors, so at least ``(2 SHARE - 1) x words - 1`` of the item's word pairs are whole in the passage (for 4 or 5 words, where
+this is below one: ``SHARE x words`` single words). Call this number t. All but the t - 1 most frequent n-grams of an
+item are its seeds: each leak holds one of them. Documents are looked through for seeds with a bit table of fixed
+size; hits that lie close make a passage, cut out with a margin of the longest item. Passages join items on the seed,
+pairs with fewer than t of the item's n-grams are dropped, and the others are aligned. No step loses a leak.
 
 Items of fewer than ``N`` words have one seed, their whole sequence, and need an exact copy of a text of the same words
 or a passage that holds it; it is sought as an n-gram of that length.
@@ -17,6 +18,7 @@ repeated rows are reported once per id and item; empty tables give an empty resu
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 from boxwise.llm.common import batch, grams, map_arrow, slices, text_bytes, words
 from boxwise.session import materialize
 
+#: Words from which an item may be found by a part of it.
 N = 4
-WINDOW = 6
 SHARE = 0.6
 BITS = 24
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -48,8 +50,20 @@ def plain_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.array(bounds, np.int64)
 
 
-def pieces(items: DataFrame, key: str, text: str) -> DataFrame:
-    """(item, part, words, grams): word and n-gram hashes of every item, long ones in parts."""
+def needed(size: int, share: float) -> tuple[int, int]:
+    """(n, t): every alignment of ``share`` holds at least t of the n-grams of an item of this many words.
+
+    With m matches and e errors, 2m - e >= 2 share x size and m <= size; the errors part the matches into e + 1 runs at
+    most, which hold m - (e + 1) pairs or more.
+    """
+    if size < N:
+        return size, 1
+    pairs = math.ceil((2 * share - 1) * size - 1 - 1e-9)
+    return (2, pairs) if pairs > 0 else (1, max(1, math.ceil(share * size - 1e-9)))
+
+
+def pieces(items: DataFrame, key: str, text: str, share: float = SHARE) -> DataFrame:
+    """(item, part, n, t, words, grams): word and n-gram hashes of every item, long ones in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -60,13 +74,14 @@ def pieces(items: DataFrame, key: str, text: str) -> DataFrame:
                 for k, at in enumerate(range(0, max(1, len(own)), PART)):
                     part = own[at : at + PART] if len(own) - at >= N or at == 0 else own[-N:]
                     if len(part):
-                        n = min(N, len(part))
+                        n, t = needed(len(part), share)
                         g, _, _ = grams(part, np.array([0, len(part)]), n)
-                        rows.append((item, k, n, part.astype(np.int64), g.astype(np.int64)))
-            yield batch(["item", "part", "n", "words", "grams"], [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.list_(pa.int64())), pa.array([r[4] for r in rows], pa.list_(pa.int64()))])
+                        rows.append((item, k, n, t, part.astype(np.int64), g.astype(np.int64)))
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield batch(["item", "part", "n", "t", "words", "grams"], [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)])
 
     source = items.select(F.col(key).cast("long").alias("item"), F.col(text).cast("string").alias("text"))
-    return map_arrow(source, run, "item bigint, part int, n int, words array<bigint>, grams array<bigint>")
+    return map_arrow(source, run, "item bigint, part int, n int, t int, words array<bigint>, grams array<bigint>")
 
 
 def bit_table(hashes: DataFrame) -> np.ndarray:
@@ -102,41 +117,68 @@ def frequencies(docs: DataFrame, table, sizes: list[int]) -> DataFrame:
 
 
 def seeds(parts: DataFrame, counted: DataFrame) -> DataFrame:
-    """(h, item, part): of every WINDOW neighbouring n-grams of a part the rarest one; ties go to the first."""
-    each = parts.select("item", "part", F.posexplode("grams").alias("at", "h")).join(counted, "h", "left")
-    row = each.groupBy("item", "part").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n"), "h"))).alias("g"))
-    picked = F.expr(f"transform(sequence(0, greatest(size(g) - {WINDOW}, 0)), i -> array_min(transform(slice(g, i + 1, {WINDOW}), x -> struct(x.n as n, x.at as at, x.h as h))).h)")
-    return row.select("item", "part", F.explode(F.array_distinct(picked)).alias("h"))
+    """(h, item, part): the n-grams of a part but its t - 1 most frequent ones; those that no text has are left out."""
+    each = parts.select("item", "part", "t", F.posexplode("grams").alias("at", "h")).join(counted, "h", "left")
+    row = each.groupBy("item", "part", "t").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "h"))).alias("g"))
+    chosen = row.select("item", "part", F.explode(F.expr("slice(g, 1, size(g) - t + 1)")).alias("x"))
+    return chosen.filter("x.n > 0").select("item", "part", "x.h").distinct()
 
 
-def passages(docs: DataFrame, table, sizes: list[int], margin: int) -> DataFrame:
-    """(doc_id, start, words, hits): words around seeds that lie at most a margin apart.
+def passages(docs: DataFrame, table, every, sizes: list[int], margin: int, wanted=None) -> DataFrame:
+    """(k, start, grams, hits): parts of texts around seeds that lie at most a margin apart; k is the text's hash.
 
-    ``words`` are hashes from ``margin`` before the first hit to as many after the last.
+    They reach from ``margin`` before the first hit to as many after the last; ``grams`` are all n-grams of items in them.
+    With a bit table of texts that are wanted: (doc_id, k, start, words) of the same passages of these.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_pylist()
-            w, bounds = plain_words(b.column(1))
+            ids, keys, column = b.column(0), b.column(1), b.column(2)
+            if wanted is not None:
+                keep = pa.array(is_set(wanted.value, keys.to_numpy(zero_copy_only=False).view(np.uint64)))
+                ids, keys, column = ids.filter(keep), keys.filter(keep), column.filter(keep)
+            ids, keys = ids.to_pylist(), keys.to_pylist()
+            w, bounds = plain_words(column)
             rows, at, h = [], [], []
             for n in sizes:
                 g, first, _ = grams(w, bounds, n)
-                hit = np.flatnonzero(is_set(table.value, g))
+                hit = np.flatnonzero(is_set(every.value, g))
                 at.append(first[hit])
                 h.append(g[hit])
             at, h = np.concatenate(at), np.concatenate(h)
             order = np.argsort(at, kind="stable")
             at, h = at[order], h[order]
-            doc = np.searchsorted(bounds, at, side="right") - 1
-            new = np.flatnonzero((np.diff(at, prepend=at[:1] - margin - 1) > margin) | (np.diff(doc, prepend=-1) > 0))
-            for s, e in zip(new, [*new[1:], len(at)]):
-                low = max(bounds[doc[s]], at[s] - margin)
-                high = min(bounds[doc[s] + 1], at[e - 1] + margin + N)
-                rows.append((ids[doc[s]], int(low - bounds[doc[s]]), w[low:high].astype(np.int64), np.unique(h[s:e]).astype(np.int64)))
-            yield batch(["doc_id", "start", "words", "hits"], [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.list_(pa.int64()))])
+            seed = is_set(table.value, h)
+            own, own_h = at[seed], h[seed]
+            doc = np.searchsorted(bounds, own, side="right") - 1
+            new = np.flatnonzero((np.diff(own, prepend=own[:1] - margin - 1) > margin) | (np.diff(doc, prepend=-1) > 0))
+            for s, e in zip(new, [*new[1:], len(own)]):
+                low = max(bounds[doc[s]], own[s] - margin)
+                high = min(bounds[doc[s] + 1], own[e - 1] + margin + N)
+                place = (keys[doc[s]], int(low - bounds[doc[s]]))
+                if wanted is not None:
+                    rows.append((ids[doc[s]], *place, w[low:high].astype(np.int64)))
+                else:
+                    inside = h[np.searchsorted(at, low) : np.searchsorted(at, high)]
+                    rows.append((*place, np.unique(inside).astype(np.int64), np.unique(own_h[s:e]).astype(np.int64)))
+            lists, longs = pa.list_(pa.int64()), pa.int64()
+            names, kinds = (["doc_id", "k", "start", "words"], (longs, longs, longs, lists)) if wanted is not None else (["k", "start", "grams", "hits"], (longs, longs, lists, lists))
+            yield batch(names, [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)])
+
+    schema = "k bigint, start bigint, grams array<bigint>, hits array<bigint>" if wanted is None else "doc_id bigint, k bigint, start bigint, words array<bigint>"
+    return map_arrow(docs.select("doc_id", "k", "text"), run, schema)
+
+
+def plausible(pairs: DataFrame) -> DataFrame:
+    """(k, start, item, part) of the pairs (k, start, item, part, t, own, grams) whose passage has t of the item's own n-grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [int(np.isin(own.values.to_numpy(), there.values.to_numpy()).sum()) >= t for t, own, there in zip(b.column(4).to_pylist(), b.column(5), b.column(6))]
+            keep = pa.array(ok, pa.bool_())
+            yield batch(["k", "start", "item", "part"], [c.filter(keep) for c in b.columns[:4]])
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id bigint, start bigint, words array<bigint>, hits array<bigint>")
+    return map_arrow(pairs.select("k", "start", "item", "part", "t", "own", "grams"), run, "k bigint, start bigint, item bigint, part int").distinct()
 
 
 def aligned(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -159,19 +201,22 @@ def aligned(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", share: float = SHARE) -> DataFrame:
     """(doc_id, item_id, score, n_words, word_end): the best alignment of every document and item above the threshold."""
     spark = docs.sparkSession
-    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    parts = materialize(pieces(items, item, item_text))
+    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("k", F.xxhash64("text"))
+    parts = materialize(pieces(items, item, item_text, share))
     facts = parts.agg(F.max(F.size("words")).alias("most"), F.collect_set("n").alias("sizes")).first()
     if facts.most is None:
         return spark.createDataFrame([], "doc_id long, item_id long, score double, n_words long, word_end long")
     sizes, margin = sorted(facts.sizes), 2 * facts.most
-    table = spark.sparkContext.broadcast(bit_table(parts.select(F.explode("grams").alias("h"))))
-    counted = materialize(frequencies(source, table, sizes))
+    every = spark.sparkContext.broadcast(bit_table(parts.select(F.explode("grams").alias("h"))))
+    counted = materialize(frequencies(source, every, sizes))
     chosen = materialize(seeds(parts, counted))
     table = spark.sparkContext.broadcast(bit_table(chosen.select("h")))
-    found = materialize(passages(source, table, sizes, margin).withColumn("id", F.monotonically_increasing_id()))
+    found = materialize(passages(source, table, every, sizes, margin).withColumn("id", F.monotonically_increasing_id()))
     pairs = found.select("id", F.explode("hits").alias("h")).join(chosen, "h").select("id", "item", "part").distinct()
-    both = pairs.join(found.select("id", "doc_id", "start", F.col("words").alias("passage")), "id").join(parts.select("item", "part", "words"), ["item", "part"])
+    close = materialize(plausible(pairs.join(found, "id").join(parts.select("item", "part", "t", F.col("grams").alias("own")), ["item", "part"])))
+    wanted = spark.sparkContext.broadcast(bit_table(close.select(F.col("k").alias("h"))))
+    texts = passages(source, table, every, sizes, margin, wanted).withColumnRenamed("words", "passage")
+    both = texts.join(close, ["k", "start"]).join(parts.select("item", "part", "words"), ["item", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

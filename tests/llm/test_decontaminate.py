@@ -62,6 +62,26 @@ def test_copies_edited_copies_and_clean_texts(spark):
     assert len(got) == len(found)
 
 
+def test_heavily_edited_copies_equal_brute_force(spark):
+    """Copies with 10 to 25% of the words replaced, also without any whole run of 4 words, and with words put in between."""
+    r = rnd(5)
+    items, docs = [], []
+    for i in range(24):
+        size = (4, 5, 6, 8, 12, 16, 25, 40)[i % 8]
+        w = prose(r, size, 3000).split(" ")
+        items.append((i, " ".join(w)))
+        copies = [[f"new{r.randrange(10**6)}" if k % 4 == 3 else x for k, x in enumerate(w)], " and ".join(w[:1] + [f"{a} {b}" for a, b in zip(w[1::2], w[2::2])]).split(" ")]
+        for share in (0.1, 0.15, 0.2, 0.25):
+            gone = set(r.sample(range(size), round(share * size)))
+            copies.append([f"new{r.randrange(10**6)}" if k in gone else x for k, x in enumerate(w)])
+        if i % 3 == 0:
+            copies.append(w)
+        docs += [(1000 * i + k, f"{prose(r, 30, 3000)} {' '.join(c)} {prose(r, 30, 3000)}") for k, c in enumerate(copies)]
+    want = brute(docs, items)
+    assert len(want) > 100
+    assert {(g.doc_id, g.item_id) for g in D.leaks(*frames(spark, docs, items)).collect()} == want
+
+
 def test_short_long_and_repeated_items(spark):
     r = rnd(2)
     long = prose(r, 1500, 5000)
