@@ -13,7 +13,7 @@ segments are skipped; a set that keeps too few others enters a next level with t
 Signatures are dealt to buckets in packed rows. Sets that share a signature are candidates:
 each with the smallest of its group first; groups of at most ``HOT`` sets give their other pairs, which are verified
 only where they would join components. A larger group's signature is skipped, which a set can afford
-as long as H + 1 of its segments remain; sets that can't are compared exactly, block by block,
+as long as H + 1 of its segments remain at each level that it enters; sets that can't are compared exactly, block by block,
 within families of such groups, unless they are in one component by then. Parity sketches turn down candidates that differ
 in too many shingles for certain, and all links are verified on the sets.
 
@@ -95,16 +95,17 @@ def _summed(at: np.ndarray, value: np.ndarray, size: int) -> np.ndarray:
     return low + (high << U(32))
 
 
-def signatures(g: np.ndarray, bounds: np.ndarray, edges: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, set) of all sets, and for each set how many segments it can spare in even and odd schemes.
+def level_signatures(g: np.ndarray, bounds: np.ndarray, edges: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, set) of all sets, for each set how many segments it can spare in even and odd schemes, and which signatures are early.
 
-    The lowest bit of a signature tells the parity of its scheme.
+    The lowest bit of a signature tells the parity of its scheme. Early ones are of a level that their set left with too
+    few segments: it can spare none of them, as a partner may have ended there.
     """
     sizes = np.diff(bounds)
     band = np.searchsorted(edges, sizes, side="right") - 1
     tops = np.append(edges[1:] - 1, edges[-1] * 100 // percent)
     limit = np.array([differences(int(t), percent) for t in tops], np.int64)
-    sigs, owners = [], []
+    sigs, owners, early = [], [], []
     spare = np.full((len(sizes), 2), 1 << 14, np.int64)
     for lower in (0, 1):
         scheme = band - lower
@@ -140,12 +141,20 @@ def signatures(g: np.ndarray, bounds: np.ndarray, edges: np.ndarray, percent: in
             good = np.bincount(own, np.where(drop[own], filled >= 2, filled >= 1), len(todo)).astype(np.int64)
             left = good - np.where(drop, (h + 2) // 2, h + 1)
             done = left >= 0
+            early.append(~done[own[used]])
+            if less.any():
+                early.append(~done[who[less]])
             spare[todo[done], scheme[todo[done]] & 1] = np.minimum(left[done], 1 << 14)
             todo = todo[~done]
             level += 1
     if not sigs:
-        return np.zeros(0, U), np.zeros(0, np.int64), spare
-    return np.concatenate(sigs), np.concatenate(owners), spare
+        return np.zeros(0, U), np.zeros(0, np.int64), spare, np.zeros(0, bool)
+    return np.concatenate(sigs), np.concatenate(owners), spare, np.concatenate(early)
+
+
+def signatures(g: np.ndarray, bounds: np.ndarray, edges: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``level_signatures`` without the early ones' mark."""
+    return level_signatures(g, bounds, edges, percent)[:3]
 
 
 def sketches(g: np.ndarray, bounds: np.ndarray) -> list[bytes]:
@@ -218,13 +227,13 @@ def packed_signatures(docs: DataFrame, edges: np.ndarray, buckets: int) -> DataF
 
     def pack(parts: list, members: list) -> pa.RecordBatch:
         member = np.concatenate(members)
-        sig, owner = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        sig, owner, early = (np.concatenate([p[i] for p in parts]) for i in range(3))
         _, first, same = np.unique(member["k"], return_index=True, return_inverse=True)
         once = first[same[owner]] == owner  # copies of a set among these texts count once
-        sig, owner = sig[once], owner[once]
+        sig, owner, early = sig[once], owner[once], early[once]
         bucket = ((sig >> U(1)) % U(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        sig, owner, bucket = sig[order], owner[order], bucket[order]
+        sig, owner, early, bucket = sig[order], owner[order], early[order], bucket[order]
         entry = np.zeros(len(sig), _ENTRY)
         entry["high"], entry["low"] = sig >> U(32), (sig >> U(16)) & U(0xFFFE) | (sig & U(1))
         cut = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -232,20 +241,20 @@ def packed_signatures(docs: DataFrame, edges: np.ndarray, buckets: int) -> DataF
         for s, e in zip(cut, [*cut[1:], len(sig)]):
             who, new = np.unique(owner[s:e], return_inverse=True)
             own = entry[s:e].copy()
-            own["owner"] = new
+            own["owner"] = new | early[s:e].astype(np.int64) << 15
             rows.append((int(bucket[s]), member[who].tobytes(), own.tobytes()))
         return batch(["bucket", "members", "entries"], [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts, members, at, held = [], [], 0, 0
-            for first in range(0, b.num_rows, 30_000):  # members are numbered in 16 bits
+            for first in range(0, b.num_rows, 30_000):  # members are numbered in 15 bits
                 for _, _, g, bounds in sets(b.column(0).slice(first, 30_000)):
-                    sig, owner, spare = signatures(g, bounds, edges)
+                    sig, owner, spare, early = level_signatures(g, bounds, edges)
                     member = np.zeros(len(bounds) - 1, _MEMBER)
                     member["k"], member["even"], member["odd"] = set_keys(g, bounds).astype(np.int64), spare[:, 0], spare[:, 1]
                     members.append(member)
-                    parts.append((sig, owner + at))
+                    parts.append((sig, owner + at, early))
                     at += len(bounds) - 1
                     held += len(sig)
                     if held > FLUSH:
@@ -267,20 +276,21 @@ def shared_signatures(packed: DataFrame, parts: int) -> DataFrame:
         member = np.concatenate(members)
         entries = [np.frombuffer(e, _ENTRY) for _, _, e in rows]
         sig = np.concatenate([e["high"].astype(U) << U(16) | e["low"].astype(U) for e in entries])
-        owner = np.concatenate([e["owner"].astype(np.int64) + at for e, at in zip(entries, start)])
+        owner = np.concatenate([(e["owner"] & 0x7FFF).astype(np.int64) + at for e, at in zip(entries, start)])
+        early = np.concatenate([e["owner"] >> 15 > 0 for e in entries])
         order = np.argsort(sig, kind="stable")
-        sig, owner = sig[order], owner[order]
+        sig, owner, early = sig[order], owner[order], early[order]
         same = sig[1:] == sig[:-1]
         shared = np.zeros(len(sig), bool)
         shared[1:] |= same
         shared[:-1] |= same
-        sig, owner = sig[shared], owner[shared]
+        sig, owner, early = sig[shared], owner[shared], early[shared]
         key = member["k"][owner]
         order = np.lexsort((key, sig))
-        sig, owner, key = sig[order], owner[order], key[order]
+        sig, owner, early, key = sig[order], owner[order], early[order], key[order]
         fresh = np.ones(len(sig), bool)
         fresh[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
-        sig, owner, key = sig[fresh], owner[fresh], key[fresh]
+        sig, owner, early, key = sig[fresh], owner[fresh], early[fresh], key[fresh]
         cut = np.flatnonzero(np.diff(sig, prepend=~sig[:1]))
         size = np.diff(np.append(cut, len(sig)))
         pivot = np.repeat(cut, size)
@@ -296,6 +306,7 @@ def shared_signatures(packed: DataFrame, parts: int) -> DataFrame:
         pair = np.unique(np.concatenate(pairs), axis=0)
         hot = np.flatnonzero(np.repeat(size > HOT, size))
         spare = np.where(sig[hot] & U(1) > 0, member["odd"][owner[hot]], member["even"][owner[hot]]).astype(np.int64)
+        spare[early[hot]] = -1
         kind = np.concatenate([pair[:, 0], np.full(len(hot), 2)])
         sig = sig | U(rows[0][0]) << U(48)  # a hot signature is known by its bucket too
         a, c = np.concatenate([pair[:, 1], key[hot]]), np.concatenate([pair[:, 2], spare])

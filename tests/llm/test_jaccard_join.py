@@ -94,6 +94,54 @@ def test_every_linked_pair_shares_a_signature_it_can_afford(seed):
                 assert J.may_link(len(full[i]), sk[i], len(full[j]), sk[j])
 
 
+def test_pairs_that_share_hot_signatures_only_are_poor_on_both_sides():
+    """Also where one set ended at a level that the other left: a signature of such a level can't be spared."""
+    import pyarrow as pa
+
+    r = rnd(12)
+    crossed = 0
+    texts = []
+    for _ in range(1500):
+        base = prose(r, r.randrange(12, 40), 5000)
+        texts += [base, edited(r, base, r.randrange(1, 3)), " ".join(base.split(" ")[r.randrange(1, 3) :])]
+    ((_, _, g, bounds),) = list(J.sets(pa.array(texts)))
+    sig, owner, spare, early = J.level_signatures(g, bounds, J.bands(int(np.diff(bounds).max())))
+    have = [{} for _ in texts]
+    for s, o, e in zip(sig.tolist(), owner.tolist(), early.tolist()):
+        have[o][s] = e
+    for i in range(0, len(texts), 3):
+        for x, y in ((i, i + 1), (i, i + 2), (i + 1, i + 2)):
+            a, b = (set(g[bounds[j] : bounds[j + 1]].tolist()) for j in (x, y))
+            if a == b or 100 * len(a & b) < 80 * len(a | b):
+                continue
+            for one, other in ((x, y), (y, x)):
+                hot = [[s for s in have[one] if s in have[other] and s & 1 == odd] for odd in (0, 1)]
+                old = any(len(hot[odd]) > spare[one, odd] for odd in (0, 1))
+                new = old or any(have[one][s] for h in hot for s in h)
+                assert new
+                crossed += not old
+    assert crossed
+
+
+def test_hot_members_can_not_spare_signatures_of_levels_they_left(spark):
+    import pyarrow as pa
+
+    r = rnd(15)
+    bases = [prose(r, n, 5000) for n in range(10, 40, 2)]
+    texts = [edited(r, b, 1) for b in bases for _ in range(60)]
+    ((_, _, g, bounds),) = list(J.sets(pa.array(texts)))
+    edges = J.bands(int(np.diff(bounds).max()))
+    sig, owner, spare, early = J.level_signatures(g, bounds, edges)
+    keys, groups = J.set_keys(g, bounds).astype(np.int64).tolist(), {}
+    for s, o, e in zip(sig.tolist(), owner.tolist(), early.tolist()):
+        groups.setdefault(s, {})[keys[o]] = -1 if e else int(spare[o, s & 1])
+    want = sorted((k, v) for m in groups.values() if len(m) > J.HOT for k, v in m.items())
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = J.shared_signatures(J.packed_signatures(docs, edges, 4), 2).filter("kind = 2")
+    assert sorted((m.a, m.b) for m in found.collect()) == want
+    assert any(v < 0 for _, v in want)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (200, 200)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
