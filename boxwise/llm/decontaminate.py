@@ -71,8 +71,9 @@ def pieces(items: DataFrame, key: str, text: str, share: float = SHARE) -> DataF
             rows = []
             for i, item in enumerate(b.column(0).to_pylist()):
                 own = w[bounds[i] : bounds[i + 1]]
-                for k, at in enumerate(range(0, max(1, len(own)), PART)):
-                    part = own[at : at + PART] if len(own) - at >= N or at == 0 else own[-N:]
+                last = max(0, len(own) - PART)  # the last part is as long as the others and overlaps the one before
+                for k, at in enumerate([*range(0, last, PART), last]):
+                    part = own[at : at + PART]
                     if len(part):
                         n, t = needed(len(part), share)
                         g, _, _ = grams(part, np.array([0, len(part)]), n)

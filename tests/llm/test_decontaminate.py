@@ -91,6 +91,17 @@ def test_short_long_and_repeated_items(spark):
     assert found == {(1, 1), (3, 2), (4, 3), (4, 4)}
 
 
+def test_the_last_part_of_a_long_item_is_a_full_one(spark):
+    r = rnd(8)
+    long = prose(r, D.PART + 2, 5000)
+    end = " ".join(long.split(" ")[-4:])
+    docs = [(1, f"{prose(r, 40, 5000)} {end} {prose(r, 40, 5000)}"), (2, " ".join(long.split(" ")[-400:]))]
+    items = [(1, long)]
+    parts = [(p.part, len(p.words)) for p in D.pieces(frames(spark, docs, items)[1], "item_id", "text").collect()]
+    assert sorted(parts) == [(0, D.PART), (1, D.PART)]
+    assert {g.doc_id for g in D.leaks(*frames(spark, docs, items)).collect()} == {2}
+
+
 def test_clean_and_empty_tables(spark):
     docs, items = frames(spark, [(1, "a b c d e f g h"), (2, "q r s t u v w"), (None, "z")], [(1, "a b c d e f g h")])
     assert {r.doc_id for r in D.clean(docs, items).collect()} == {2, None}
