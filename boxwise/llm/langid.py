@@ -7,8 +7,8 @@ A text whose best cosine lies below a floor for its length is rejected: ``REJECT
 up and down), and never above the floor of a longer text.
 
 Document frequencies, label counts and floors come from all training rows. Only k-means works
-on a bounded sample: about ``SAMPLE`` rows per language, picked by a hash of the id, at most
-``SAMPLE_ROWS`` in all. The model is of fixed size (``DIMS`` x centroids), so it goes to every task.
+on a bounded sample: about ``SAMPLE`` rows per language, picked by a hash of the id, and fewer of each, ``FEWEST``
+at least, where languages are so many that this would exceed ``SAMPLE_ROWS``. The model is of fixed size (``DIMS`` x centroids), so it goes to every task.
 
 Edge cases: null text or one without a letter is ``und`` with score 0 and is rejected; rows with
 a null label or null id teach nothing, and a null id counts as held out; without training rows
@@ -33,6 +33,7 @@ from boxwise.llm.common import batch, map_arrow, slices, text_bytes
 DIMS = 4096
 SAMPLE = 500
 SAMPLE_ROWS = 20_000
+FEWEST = 20
 #: Most languages; more are an error.
 LABELS = 1000
 CENTROIDS = 5
@@ -117,6 +118,11 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(True))
 
 
+def rows_each(languages: int, sample: int = SAMPLE) -> int:
+    """Rows of the sample per language."""
+    return min(sample, max(FEWEST, SAMPLE_ROWS // max(1, languages)))
+
+
 def fit(df: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Model | None:
     """Learn from rows with a label; the caller leaves out what must not be learned from."""
     rows = df.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(text).cast("string").alias("text"), F.col(label).alias("label"), F.col(key).alias("key"))
@@ -139,7 +145,8 @@ def fit(df: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_
     sizes = {r.label: r["count"] for r in rows.groupBy("label").count().limit(LABELS + 1).collect()}
     if len(sizes) > LABELS:
         raise ValueError(f"more than {LABELS} languages")
-    share = F.create_map(*[F.lit(x) for label, count in sizes.items() for x in (label, sample / count)])
+    each = rows_each(len(sizes), sample)
+    share = F.create_map(*[F.lit(x) for label, count in sizes.items() for x in (label, each / count)])
     mark = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
     picked = rows.withColumn("mark", mark).filter(F.col("mark") < share[F.col("label")]).select("text", "label", "mark", "key")
 
@@ -153,7 +160,7 @@ def fit(df: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_
             yield batch(["label", "mark", "key", "data"], [b.column(1), b.column(2), b.column(3), pa.array(out, pa.binary())])
 
     kind = df.schema[key].dataType.simpleString()
-    found = sorted(map_arrow(picked, sparse, f"label string, mark double, key {kind}, data binary").limit(SAMPLE_ROWS).collect(), key=lambda r: (r.label, r.mark, str(r.key), bytes(r.data)))
+    found = sorted(map_arrow(picked, sparse, f"label string, mark double, key {kind}, data binary").collect(), key=lambda r: (r.label, r.mark, str(r.key), bytes(r.data)))
     labels, owner, centroids = sorted({r.label for r in found}), [], []
     for k, name in enumerate(labels):
         own = [np.frombuffer(r.data, "<u4").reshape(2, -1) for r in found if r.label == name]

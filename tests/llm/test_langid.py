@@ -64,3 +64,10 @@ def test_query_on_held_out_rows(spark, small):
     held = [g for g in got if g.held_out]
     assert sum(g.lang_pred == truth[g.doc_id] for g in held) >= 0.95 * len(held)
     assert sum(g.rejected for g in got) <= 0.02 * len(got)
+
+
+def test_every_language_keeps_rows_in_a_small_sample(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 30)
+    _, docs = corpus(spark)
+    assert langid.fit(docs).labels == ["de", "en", "fr"]
+    assert len(WORDS) * 10 == 30 and langid.rows_each(3) == langid.FEWEST and langid.rows_each(1, 7) == 7
