@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxwise.llm import bpe, decontaminate, edit_embedding, jaccard_join, kneser_ney, langid, quotes, substrings, surrogates, warc
+from boxwise.llm import bpe, decontaminate, divergence, edit_embedding, jaccard_join, kneser_ney, langid, quotes, substrings, surrogates, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +97,29 @@ def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_substrings(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
+
+
+ORACLES["op12_source_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+t AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+ '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS n FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+l AS (SELECT lang, CAST(sum(n) AS HUGEINT) + count(*) AS whole FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+w AS (SELECT g.lang, g.source, coalesce(x.n, 0) + coalesce(v.v, 0) AS whole FROM g LEFT JOIN (SELECT lang, source, CAST(sum(n) AS HUGEINT) AS n FROM c GROUP BY ALL) x USING (lang, source)
+ LEFT JOIN (SELECT lang, count(*) AS v FROM k GROUP BY lang) v USING (lang)),
+p AS (SELECT w.lang, w.source, k.term, coalesce(c.n, 0) AS n, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1)) // w.whole AS p, 1 + (CAST(1000000000 AS HUGEINT) * (k.n + 1)) // l.whole AS q
+ FROM w JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = w.lang AND c.source = w.source AND c.term = k.term),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+ LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+ ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM pair UNION ALL FROM term))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
