@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import importlib.util
 import os
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxwise.llm import bpe, decontaminate, divergence, edit_embedding, jaccard_join, kneser_ney, langid, quotes, substrings, surrogates, warc
+from boxwise.llm import bpe, decontaminate, divergence, edit_embedding, jaccard_join, kneser_ney, langid, quotes, repair, substrings, surrogates, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -123,3 +124,46 @@ term AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) //
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM pair UNION ALL FROM term))
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
 """
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.repairs(table(spark, folder, "conversations"))
+
+
+ORACLES["op11_conversation_repair"] = r"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS label FROM conversations),
+-- CRC-32 by bits: every character of a label is ASCII; -1 shifts a bit out
+h AS (SELECT *, xor(list_reduce(flatten(list_transform(string_split(label, ''), lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+ lambda r, x: CASE WHEN x >= 0 THEN xor(r, x) WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END, CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) % 20 AS fate FROM c),
+d AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+ unnest(CASE WHEN fate = 3 THEN [1, 2] ELSE [1] END) AS copy FROM h WHERE fate <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, substr(text, 1, 64), sha256(text), copy) AS pos,
+ right(rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), 1) AS final FROM d),
+f AS (SELECT *, CASE WHEN final = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+ WHEN final NOT IN ('.', '!', '?') THEN 'truncated' END AS fault, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) || left(role, 1) AS pair FROM o),
+s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+ count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+-- the cheapest edits to each state, as six digits of cost and the audit; null is out of reach
+w AS (SELECT conv_id, 0 AS pos, '000000' AS d0, CAST(NULL AS VARCHAR) AS d1, '000002I' AS d2, '000004II' AS d3 FROM s
+ UNION ALL SELECT m.conv_id, m.pos, n0, n1, least(n2, {n0+2I}, {n1+2I}, {n3+2I}), least(n3, {n2+2I}, {n0+4II}, {n1+4II})
+ FROM (SELECT w.conv_id, f.pos, {d0+3D} AS n0, least({d1+3D}, CASE WHEN k AND i = 's' THEN {d0+tK} END) AS n1,
+  least({d2+3D}, CASE WHEN k AND i = 'u' THEN least({d0+tK}, {d1+tK}, {d3+tK}) END, CASE WHEN k THEN least({d0+rR}, {d1+rR}, {d3+rR}) END) AS n2,
+  least({d3+3D}, CASE WHEN k AND i = 'a' THEN {d2+tK} END, CASE WHEN k THEN {d2+rR} END) AS n3
+  FROM w JOIN (SELECT conv_id, pos, left(role, 1) AS i, fault IS NULL OR fault = 'truncated' AS k, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS t, CASE WHEN fault = 'truncated' THEN 3 ELSE 2 END AS r FROM f) f
+  ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.pos = w.pos + 1) m),
+b AS (SELECT conv_id, least(arg_max(d0, pos), arg_max(d3, pos)) AS best FROM w GROUP BY conv_id),
+-- the edits once more, now with their lines
+e AS (SELECT conv_id, substr(best, 7) AS audit, 0 AS k, 0 AS pos, 0 AS state, CAST(NULL AS VARCHAR) AS line FROM b
+ UNION ALL SELECT e.conv_id, e.audit, e.k + 1, e.pos + CASE WHEN x = 'I' THEN 0 ELSE 1 END,
+ CASE WHEN x = 'D' THEN state WHEN x = 'K' AND left(f.role, 1) = 's' THEN 1 WHEN state = 2 THEN 3 ELSE 2 END,
+ CASE x WHEN 'D' THEN NULL WHEN 'K' THEN f.role || ':' || f.text ELSE CASE WHEN state = 2 THEN 'assistant:' ELSE 'user:' END || CASE WHEN x = 'R' THEN f.text ELSE '' END END
+ FROM (SELECT *, substr(audit, k + 1, 1) AS x FROM e WHERE k < length(audit)) e LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM e.conv_id AND f.pos = e.pos + 1),
+r AS (SELECT conv_id, any_value(audit) AS audit, sha256(coalesce(string_agg(line, chr(10) ORDER BY k), '')) AS hash FROM e GROUP BY conv_id)
+SELECT q.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+ CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(left(best, 6), '0') AS BIGINT) AS cost, coalesce(audit, '') AS audit, coalesce(hash, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) q LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM q.conv_id LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM q.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM q.conv_id
+"""
+ORACLES["op11_conversation_repair"] = re.sub(
+    r"\{(\w\d)\+(\w)(\w+)\}", r"lpad(CAST(CAST(left(\1, 6) AS INT) + \2 AS VARCHAR), 6, '0') || substr(\1, 7) || '\3'", ORACLES["op11_conversation_repair"]
+)
