@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxwise.llm import bpe, decontaminate, divergence, edit_embedding, jaccard_join, kneser_ney, langid, quotes, repair, substrings, surrogates, warc
+from boxwise.llm import bpe, decontaminate, divergence, edit_embedding, forest, jaccard_join, kneser_ney, langid, quotes, repair, substrings, surrogates, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -167,3 +167,18 @@ FROM (SELECT DISTINCT conv_id FROM conversations) q LEFT JOIN s ON s.conv_id IS
 ORACLES["op11_conversation_repair"] = re.sub(
     r"\{(\w\d)\+(\w)(\w+)\}", r"lpad(CAST(CAST(left(\1, 6) AS INT) + \2 AS VARCHAR), 6, '0') || substr(\1, 7) || '\3'", ORACLES["op11_conversation_repair"]
 )
+
+
+@query
+def op13_embedding_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return forest.near_duplicates(table(spark, folder, "embeddings"))
+
+
+ORACLES["op13_embedding_forest"] = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.r AS x, b.r AS y FROM g a JOIN g b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+c AS (SELECT r, r AS s FROM v UNION SELECT c.r, l.y FROM c JOIN l ON l.x = c.s),
+m AS (SELECT c.r, min(o.vec_id) AS component_id FROM c JOIN v o ON o.r = c.s GROUP BY c.r)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.x = v.r) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN m ON m.r = v.r
+"""
