@@ -41,6 +41,8 @@ SHARD = 50_000
 HELD = 100_000
 #: Bytes of a text that are cut into terms at a time.
 SLICE = 1 << 20
+#: Languages that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 #: Ids by which a gallop begins.
 STRIDE = 64
 
@@ -205,7 +207,10 @@ def audit(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
     docs = df.select(empty(lang).alias("lang"), empty(source).alias("source"), empty(text).alias("text"))
     counted = materialize(term_counts(docs))
     kept = materialize(counted.groupBy("lang", "term").agg(F.sum("n").alias("all_n"), F.sum("docs").alias("all_docs")).filter(F.col("all_docs") >= DOCUMENTS).select("lang", "term", "all_n"))
-    of_lang = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("all_n").alias("all_total"))
+    langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("all_n").alias("all_total"))
+    langs = materialize(langs)
+    # by broadcast, as one language may hold most terms
+    of_lang = F.broadcast(langs) if langs.count() <= BROADCAST_ROWS else langs
     own = materialize(counted.drop("docs").join(kept, ["lang", "term"]))
     totals = own.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = docs.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(of_lang, "lang", "left")
