@@ -38,7 +38,7 @@ TOP = 200
 #: Terms of one shard of a language, about.
 SHARD = 50_000
 #: Distinct terms that a task holds before it hands its counts on.
-HELD = 100_000
+HELD = 300_000
 #: Bytes of a text that are cut into terms at a time.
 SLICE = 1 << 20
 #: Languages that are broadcast at most; more are joined by a shuffle.
