@@ -47,9 +47,11 @@ HOT = 16
 #: Sets of one side of an exact comparison.
 BLOCK = 300
 #: Signatures that a task packs at a time.
-FLUSH = 1_000_000
+FLUSH = 400_000
 #: Signatures that one task compares.
-BUCKET = 3_000_000
+BUCKET = 1_500_000
+#: Bytes of text that a task looks at together.
+SLICE = 1 << 20
 KEY_BITS = 24
 U = np.uint64
 
@@ -70,7 +72,7 @@ def differences(top: int, percent: int = PERCENT) -> int:
 def sets(column: pa.Array, n: int = N) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row, sorted distinct shingles, set ranges) of row ranges."""
     buf, offs = text_bytes(column)
-    for a, b in slices(offs, 4 << 20):
+    for a, b in slices(offs, SLICE):
         w, _, _, bounds = words(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
         g, _, own = grams(w, bounds, n, whole=True)
         row = np.repeat(np.arange(b - a), np.diff(own))
@@ -201,18 +203,15 @@ def possible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def set_table(docs: DataFrame) -> DataFrame:
-    """(id, n, k, sketch): size, key and parity sketch of every text's set."""
+    """(id, h, n, k, sketch): hash of every text, size, key and parity sketch of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, k, sketch = [], [], []
-            for _, _, g, bounds in sets(b.column(1)):
-                n.append(np.diff(bounds))
-                k.append(set_keys(g, bounds).astype(np.int64))
-                sketch += sketches(g, bounds)
-            yield batch(["id", "n", "k", "sketch"], [b.column(0), np.concatenate(n) if n else np.zeros(0, np.int64), np.concatenate(k) if k else np.zeros(0, np.int64), pa.array(sketch, pa.binary())])
+            for low, high, g, bounds in sets(b.column(2)):
+                own = b.slice(low, high - low)
+                yield batch(["id", "h", "n", "k", "sketch"], [own.column(0), own.column(1), np.diff(bounds), set_keys(g, bounds).astype(np.int64), pa.array(sketches(g, bounds), pa.binary())])
 
-    return map_arrow(docs, run, "id bigint, n bigint, k bigint, sketch binary")
+    return map_arrow(docs.select("id", F.xxhash64("text").alias("h"), "text"), run, "id bigint, h bigint, n bigint, k bigint, sketch binary")
 
 
 _MEMBER = np.dtype([("k", "<i8"), ("even", "<i2"), ("odd", "<i2")])
@@ -341,14 +340,13 @@ def fetched(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: dict[int, bytes] = {}
+            seen: set[int] = set()
             for _, _, g, bounds in sets(b.column(0)):
                 k = set_keys(g, bounds)
                 s = k & U((1 << KEY_BITS) - 1)
                 hit = (shared.value[(s >> U(6)).astype(np.int64)] >> (s & U(63))) & U(1) > 0
-                for i in np.flatnonzero(hit & (np.diff(bounds) > 0)):
-                    seen.setdefault(int(k[i].astype(np.int64)), g[bounds[i] : bounds[i + 1]].tobytes())
-            yield batch(["k", "shingles"], [pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.binary())])
+                at = [i for i in np.flatnonzero(hit & (np.diff(bounds) > 0)) if not (int(k[i]) in seen or seen.add(int(k[i])))]
+                yield batch(["k", "shingles"], [k[at].astype(np.int64), pa.array([g[bounds[i] : bounds[i + 1]].tobytes() for i in at], pa.binary())])
 
     found = map_arrow(docs.select("text"), run, "k bigint, shingles binary")
     # the sets of a key are equal, so any one of them will do
@@ -422,8 +420,8 @@ def family_links(members: DataFrame, table: DataFrame) -> DataFrame:
     return full.groupBy("family", "i", "j").applyInPandas(compare, "a bigint, b bigint")
 
 
-def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id) of every row."""
+def labelled(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, h, n, component, component_id) of every row; h is the hash of its text, component (null without words) tells components apart whatever their ids."""
     spark = df.sparkSession
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     rows = materialize(set_table(docs))
@@ -460,6 +458,31 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         named = nodes.withColumn("component", F.col("k"))
     named = materialize(named)
     best = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    label = named.join(best, "component").select("k", "component_id")
-    out = rows.filter("n > 0").join(label, "k").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
-    return out.unionByName(rows.filter("n = 0").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
+    label = named.join(best, "component").select("k", "component", "component_id")
+    out = rows.filter("n > 0").join(label, "k").select("id", "h", "n", "component", "component_id")
+    return out.unionByName(rows.filter("n = 0").select("id", "h", "n", F.lit(None).cast("long").alias("component"), F.col("id").alias("component_id")))
+
+
+def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_shingles, component_id) of every row."""
+    return labelled(df, key, text).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+def first_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", most: int = 2_000_000) -> DataFrame:
+    """One row of every component, that with the smallest id (a null one is the largest), then hash of the text; rows without words stay.
+
+    Ids and hashes of the rows that go are sent to all tasks up to ``most`` of them, which spares the texts a shuffle; more are joined.
+    """
+    rows = materialize(labelled(df, key, text))
+    least = rows.filter("component is not null").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("x"))
+    other = ~(F.col("id").eqNullSafe(F.col("x.id")) & (F.col("h") == F.col("x.h")))
+    gone = materialize(rows.join(least, "component").filter(other).select(F.col("id").alias("_id"), F.col("h").alias("_h")).distinct())
+    mine = lambda: F.col(key).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("_h"))
+    kept = df.join(F.broadcast(gone) if gone.count() <= most else gone, mine(), "left_anti")
+    again = rows.filter("component is not null").groupBy(F.col("id").alias("_id"), F.col("h").alias("_h")).count().filter("count > 1").drop("count")
+    again = materialize(again.join(gone.withColumnsRenamed({"_id": "_id2", "_h": "_h2"}), F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2")), "left_anti"))
+    if again.isEmpty():
+        return kept
+    side = lambda: F.broadcast(again) if again.count() <= most else again
+    once = kept.join(side(), mine(), "left_semi").withColumn("_h", F.xxhash64(F.col(text).cast("string"))).dropDuplicates([key, "_h"]).drop("_h")
+    return kept.join(side(), mine(), "left_anti").unionByName(once)

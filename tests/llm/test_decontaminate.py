@@ -109,6 +109,22 @@ def test_clean_and_empty_tables(spark):
     assert D.clean(docs, items.limit(0)).count() == 3
 
 
+def test_clean_decides_by_id_and_text(spark):
+    copy = "one two three four five six seven eight"
+    rows = [(7, copy), (7, "a clean text of the same id"), (None, copy), (None, "another clean text"), (8, "x " + copy), (9, None), (9, copy)]
+    docs, items = frames(spark, rows, [(1, copy)])
+    assert sorted((str(r.doc_id), str(r.text)) for r in D.clean(docs, items).collect()) == sorted([("7", rows[1][1]), ("None", rows[3][1]), ("9", "None")])
+
+
+def test_seeds_in_rounds_and_slices(spark, monkeypatch):
+    r = rnd(9)
+    items = [(i, prose(r, 20, 300)) for i in range(30)]
+    docs = [(i, f"{prose(r, 60, 300)} {edited(r, items[i % 30][1], 2)} {prose(r, 60, 300)}") for i in range(60)]
+    want = brute(docs, items)
+    monkeypatch.setattr(D, "SEEDS", 100)
+    assert {(g.doc_id, g.item_id) for g in D.leaks(*frames(spark, docs, items)).collect()} == want and len(want) >= 60
+
+
 def test_query_against_brute_force(spark, small):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect() if len(r.text or "") < 2500]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]

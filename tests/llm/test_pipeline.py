@@ -54,6 +54,10 @@ def test_odd_rows_pass_every_stage(spark, small):
     docs = spark.createDataFrame(rows, ",".join(f"{c} {t}" for c, t in zip(P.COLUMNS, ("long", "string", "string", "string", "long")))).selectExpr("*", "1 AS label", "2 AS k", "3 AS n_entities_seen")
     kept = {x.doc_id for x in P.near_duplicates(spark, docs, small).collect()}
     assert kept == {1, 3, 4, 5, None} and P.near_duplicates(spark, docs, small).filter("doc_id = 1").count() == 1
+    other = prose(r, 40)
+    clash = [(7, text, "en", "s", 1), (7, other, "en", "s", 1), (7, other, "en", "s", 1), (None, prose(r, 40), "en", "s", 1), (None, prose(r, 40), "en", "s", 1), (None, other + " x", "en", "s", 1), (8, "", "en", "s", 0), (8, None, "en", "s", 0)]
+    left = P.near_duplicates(spark, spark.createDataFrame(clash, docs.schema[:5]), small).collect()
+    assert sorted((str(x.doc_id), str(x.text)) for x in left) == sorted((str(c[0]), str(c[1])) for k, c in enumerate(clash) if k not in (2, 5))
     for _, stage in P.STAGES:
         assert stage(spark, docs, small).count() <= len(rows)
         assert stage(spark, docs.limit(0), small).count() == 0
