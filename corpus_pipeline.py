@@ -12,11 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxwise.llm import bpe, catalog, decontaminate, jaccard_join, langid, surrogates
-from boxwise.session import materialize, shared_folder
+from boxwise.session import shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Ids that are broadcast at most; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
 #: SQL has no counterpart of language centroids, keyed surrogates or merges; the stages are tested against brute force.
 ORACLE_SQL = None
 
@@ -28,22 +26,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """n-gram Jaccard join: of each component the document with the smallest id stays.
+    """n-gram Jaccard join: of each component one document stays, that with the smallest id.
 
-    Rows that repeat this id leave one row. Rows with a null id can't be told apart: they stay unless each of them is
-    linked to a document with an id.
+    Rows that share an id, or have none, are told apart by their texts: those of different components stay.
     """
-    found = jaccard_join.join(docs)
-    least = found.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
-    gone = materialize(least.filter("not stays").select(F.col("doc_id").alias("_gone")))
-    # ids that go are few; sent to all tasks up to a checked number, they spare the texts a shuffle
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    kept = docs.select(*COLUMNS).join(side, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    repeated = materialize(docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"))
-    if repeated.isEmpty():
-        return kept
-    again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
-    return kept.join(repeated, "doc_id", "left_anti").select(*COLUMNS).unionByName(again)
+    return jaccard_join.first_of_each(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
