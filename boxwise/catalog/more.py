@@ -494,7 +494,7 @@ def _(v):
 
 
 #: Replicates of the registered bootstrap summary; the row-by-row comparison with SQL uses fewer.
-EVIDENCE_REPLICATES = 50
+EVIDENCE_REPLICATES = O.DRAWS
 
 
 def _boot(v: Views) -> DataFrame:
@@ -503,9 +503,9 @@ def _boot(v: Views) -> DataFrame:
     return v._boot_deltas
 
 
-@query("st1_bootstrap_weights", "replicate:i image_id:i weight:i", "weights", "SELECT replicate, wi AS image_id, weight FROM weights")
+@query("st1_bootstrap_weights", "replicate:i image_id:i weight:i", "draws", "SELECT replicate, wi AS image_id, weight FROM draws")
 def _(v):
-    return ST.bootstrap_weights(v.images, O.REPLICATES)
+    return ST.bootstrap_weights(v.images, O.DRAWS)
 
 
 _DELTAS = " UNION ALL ".join(f"""SELECT 'b_minus_a' AS comparison, replicate, '{m}' AS metric, b."{m}" - a."{m}" AS delta FROM summary_boot_a a JOIN summary_boot_b b USING (replicate)""" for m in ST.METRICS)
@@ -559,10 +559,10 @@ def _(v):
     return ST.bh_adjust(ST.evidence_role(p, {"c0": ["small"]}))
 
 
-@query("st4_ratio_bootstrap", "scale:s replicate:i ratio:d", "wide weights", "SELECT scale, replicate, sum(weight * CASE WHEN a_detected THEN 1 ELSE 0 END) / sum(weight) AS ratio FROM wide JOIN weights ON wi = image_id GROUP BY 1, 2")
+@query("st4_ratio_bootstrap", "scale:s replicate:i ratio:d", "wide draws", "SELECT scale, replicate, sum(weight * CASE WHEN a_detected THEN 1 ELSE 0 END) / sum(weight) AS ratio FROM wide JOIN draws ON wi = image_id GROUP BY 1, 2")
 def _(v):
     counts = v.wide.groupBy("scale", "image_id").agg(F.count_if("a_detected").alias("matched"), F.count("*").alias("gt"))
-    return ST.ratio_bootstrap(counts, ST.bootstrap_weights(v.images, O.REPLICATES), ["scale"])
+    return ST.ratio_bootstrap(counts, ST.bootstrap_weights(v.images, O.DRAWS), ["scale"])
 
 
 _CMP = " UNION ALL ".join(f"""SELECT '{a}' AS left_model, '{b}' AS right_model, corruption, severity, """ + ", ".join(f'l."{m}" - r."{m}" AS "delta_{m}"' for m in _M3) + f" FROM corruptions l JOIN corruptions r USING (corruption, severity) WHERE l.model = '{a}' AND r.model = '{b}'" for a, b in (("m1", "m0"), ("m2", "m0")))

@@ -251,7 +251,10 @@ for M in SCORES:
     precision_ctes(M, M)
 cte("membership", "images", "SELECT image_id AS mi, 'overall' AS dimension, 'all' AS value FROM images " + " ".join(f"UNION ALL SELECT image_id, '{d}', {d} FROM images" for d in ("timeofday", "weather", "scene")))
 precision_ctes("cond", "a", "dimension, value,", "JOIN membership ON mi = image_id", deps="membership")
+#: Replicates of the bootstrap's metrics in SQL, which copies every detection for each of them and forty cells.
 REPLICATES = 2
+#: Replicates of weights and ratios.
+DRAWS = 50
 cte("places", "images", "SELECT image_id, row_number() OVER (ORDER BY image_id) AS place, count(*) OVER () AS n FROM images")
 
 
@@ -259,9 +262,10 @@ def uniform_sql(label: str, seed: int) -> str:
     return f"((CAST('0x' || substr(sha256('{seed}:' || {label}), 1, 13) AS BIGINT) + 0.5e0) / 4503599627370496e0)"
 
 
-cte("weights", "places", f"""SELECT replicate, image_id AS wi, weight FROM (
+for name, size in (("weights", REPLICATES), ("draws", DRAWS)):
+    cte(name, "places", f"""SELECT replicate, image_id AS wi, weight FROM (
  SELECT replicate, 1 + CAST(floor({uniform_sql("'replicate' || replicate || ':' || place", K.BOOTSTRAP_SEED)} * n) AS BIGINT) AS place, count(*) AS weight
- FROM places, (SELECT unnest(range({REPLICATES})) AS replicate) GROUP BY ALL) JOIN places USING (place)""")
+ FROM places, (SELECT unnest(range({size})) AS replicate) GROUP BY ALL) JOIN places USING (place)""")
 for M in SCORES:
     precision_ctes(f"boot_{M}", M, "replicate,", "JOIN weights ON wi = image_id", "weight", "weights")
 

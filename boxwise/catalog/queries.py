@@ -515,14 +515,14 @@ _TWELVE_SPEC = " ".join(f"{m}:d" for m in _TWELVE)
 
 @query("agg16_coco_eval", f"model:s {_TWELVE_SPEC}", "summary_a summary_b", "SELECT 'a' AS model, * FROM summary_a UNION ALL SELECT 'b', * FROM summary_b")
 def _(v):
-    one = lambda m: P.coco_eval(v.objects, v.dets[m], v.cache[m]).withColumn("model", F.lit(m))
+    one = lambda m: P.coco_eval(v.objects, v.dets[m], cells=v.cells[m]).withColumn("model", F.lit(m))
     return one("a").unionByName(one("b"))
 
 
 @query("agg17_coco_eval_per_class", "category_id:i AP:d AP50:d AP75:d AR100:d objects:i detections:i images_with_object:i images_with_detection:i", "classes_a objects d_a", """SELECT * FROM classes_a JOIN (SELECT category_id, count(*) AS objects, count(DISTINCT image_id) AS images_with_object FROM objects GROUP BY 1) USING (category_id)
  JOIN (SELECT category_id, count(*) AS detections, count(DISTINCT image_id) AS images_with_detection FROM d_a GROUP BY 1) USING (category_id)""")
 def _(v):
-    return P.coco_eval_per_class(v.objects, v.dets["a"], v.cache["a"])
+    return P.coco_eval_per_class(v.objects, v.dets["a"], cells=v.cells["a"])
 
 
 @query("agg18_coco_eval_by_condition", f"dimension:s value:s images:i role:s {_TWELVE_SPEC} delta_AP:d retention_AP:d", "summary_cond membership", """SELECT s.*, images, CASE WHEN dimension = 'overall' THEN 'overall' WHEN images >= 100 AND value <> 'undefined' THEN 'primary' ELSE 'supplementary' END AS role, "AP" - o AS "delta_AP", CASE WHEN o > 0 THEN "AP" / o END AS "retention_AP"

@@ -105,6 +105,10 @@ class Views:
     def cache(self) -> dict[str, DataFrame]:
         return {m: materialize(precision.match_cache(self.objects, d, hot=self.hot)) for m, d in self.dets.items()}
 
+    @cached_property
+    def cells(self) -> dict[str, DataFrame]:
+        return {m: materialize(precision.coco_cells(self.objects, d, self.cache[m])) for m, d in self.dets.items()}
+
     @cached_property
     def events(self) -> DataFrame:
         return materialize(calibrate.detection_events(self.objects, self.dets["a"], hot=self.hot))

@@ -16,10 +16,13 @@ from boxwise import constants as K
 from boxwise.operators.matching import _box_join, _object_side, _pair_iou, hot_images, iou_pairs, topk_detections
 from boxwise.operators.ranking import order_bucket, running_sums
 from boxwise.operators.risk import MACRO_SUBSETS
+from boxwise.operators.weighted import evaluate_columns, placed, weight_table
 from boxwise.session import materialize
 
 THRESHOLDS = len(K.IOU_THRESHOLDS)
 CELLS = THRESHOLDS * len(K.AREA_RANGES)
+#: Conditions that are evaluated together.
+CONDITIONS = 64
 _AREA_BOUNDS = ((0.0, 1e10), (0.0, 1024.0), (1024.0, 9216.0), (9216.0, 1e10))
 _EPS = 2.220446049250313e-16
 
@@ -249,16 +252,20 @@ def summarize(cells: DataFrame, by: list[str]) -> DataFrame:
     return cells.groupBy(*by).agg(*[m.alias(n) for n, m in metric.items()])
 
 
-def coco_eval(objects: DataFrame, dets: DataFrame, cache: DataFrame | None = None) -> DataFrame:
-    """One row with AP, AP50, AP75, AP and AR by area, AR1, AR10, AR100."""
+def coco_cells(objects: DataFrame, dets: DataFrame, cache: DataFrame | None = None) -> DataFrame:
+    """AP and recalls per (class, area, threshold) cell; written once, it serves the metrics of the whole set and of each class."""
     cache = cache if cache is not None else materialize(match_cache(objects, dets))
-    return summarize(evaluate_cells(cache, object_counts(objects), []), [])
+    return evaluate_columns(materialize(placed(cache, [])), object_counts(objects), []).drop("column")
+
 
+def coco_eval(objects: DataFrame, dets: DataFrame, cache: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
+    """One row with AP, AP50, AP75, AP and AR by area, AR1, AR10, AR100."""
+    return summarize(cells if cells is not None else coco_cells(objects, dets, cache), [])
 
-def coco_eval_per_class(objects: DataFrame, dets: DataFrame, cache: DataFrame | None = None) -> DataFrame:
+
+def coco_eval_per_class(objects: DataFrame, dets: DataFrame, cache: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
     """AP, AP50, AP75, AR100 per class with object, detection and image counts."""
-    cache = cache if cache is not None else materialize(match_cache(objects, dets))
-    cells = evaluate_cells(cache, object_counts(objects), []).where(F.col("area") == 0)
+    cells = (cells if cells is not None else coco_cells(objects, dets, cache)).where(F.col("area") == 0)
     scored = summarize(cells, ["category_id"]).select("category_id", "AP", "AP50", "AP75", "AR100")
 
     def totals(df: DataFrame, name: str) -> DataFrame:
@@ -282,9 +289,20 @@ def coco_eval_by_condition(
     dims = [F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in ("timeofday", "weather", "scene")]
     member = images.select("image_id", F.inline(F.array(overall, *dims)))
     by = ["dimension", "value"]
-    sizes = member.groupBy(*by).agg(F.count("*").alias("images"))
-    cells = evaluate_cells(cache.join(member, "image_id"), object_counts(objects).join(member, "image_id"), by)
-    rows = sizes.join(summarize(cells, by), by, "left")
+    sizes = materialize(member.groupBy(*by).agg(F.count("*").alias("images")))
+    # attribute values are few; each is a column of weights, so one order of the detections serves them all
+    numbered = materialize(sizes.select(*by).coalesce(1).withColumn("place", F.monotonically_increasing_id()))
+    ordered, counts, cells = materialize(placed(cache, [])), materialize(object_counts(objects)), None
+    for first in range(0, numbered.count(), CONDITIONS):
+        own = numbered.where(F.col("place").between(first, first + CONDITIONS - 1)).withColumn("place", (F.col("place") - first).cast("int"))
+        same = F.col("d").eqNullSafe(F.col("dimension")) & F.col("v").eqNullSafe(F.col("value"))
+        named = member.join(F.broadcast(own.withColumnsRenamed({"dimension": "d", "value": "v"})), same).groupBy("image_id", "place").agg(F.count("*").alias("weight"))
+        width = own.count()
+        scored = evaluate_columns(ordered, counts, [], materialize(weight_table(named, "place", width)), width)
+        part = scored.join(F.broadcast(own.withColumnRenamed("place", "column")), "column").drop("column")
+        cells = part if cells is None else cells.unionByName(part)
+    found = summarize(cells, by).withColumnsRenamed({"dimension": "d", "value": "v"})
+    rows = sizes.join(found, (F.col("dimension") == F.col("d")) & F.col("value").eqNullSafe(F.col("v")), "left").drop("d", "v")
     base = rows.where(F.col("dimension") == "overall").select(F.col("AP").alias("overall_AP"), F.lit(0).alias("_one"))
     out = rows.withColumn("_one", F.lit(0)).join(F.broadcast(base), "_one", "left").drop("_one")
     primary = (F.col("images") >= min_images) & (F.col("value") != "undefined")

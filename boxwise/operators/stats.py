@@ -10,6 +10,7 @@ from boxwise import constants as K
 from boxwise.functions.hashing import hash_uniform, little_endian_seed
 from boxwise.operators.precision import evaluate_cells, object_counts, summarize
 from boxwise.operators.ranking import attach, order_bucket, quantiles, running_sums
+from boxwise.operators.weighted import evaluate_columns, placed, weight_table
 from boxwise.session import materialize
 
 
@@ -61,23 +62,26 @@ def delta_summary(deltas: DataFrame, by: list[str]) -> DataFrame:
 
 
 def paired_bootstrap(
-    objects: DataFrame, images: DataFrame, caches: dict[str, DataFrame], reference: str, replicates: int, first: int = 0, batch: int = 25
+    objects: DataFrame, images: DataFrame, caches: dict[str, DataFrame], reference: str, replicates: int, first: int = 0, batch: int = 50
 ) -> DataFrame:
     """Per-replicate metric deltas of every model against the reference, same weights for all.
 
-    All models are evaluated together with their name as a key, in batches of replicates; a batch's
-    deltas are written before the next begins, so its rows bound the work and a run can go on from ``first``.
+    The detections of all models are put in order once. A batch of replicates is one array of weights per image, and its
+    sums are added array by array, so no row is copied per replicate. A batch's metrics are written before the next begins, so a run can go on from ``first``.
     """
     tagged = None
     for name, cache in caches.items():
         one = cache.withColumn("model", F.lit(name))
         tagged = one if tagged is None else tagged.unionByName(one)
     names = F.array(*[F.lit(n) for n in caches])
-    counts = materialize(object_counts(objects)).withColumn("model", F.explode(names))
+    rows = materialize(placed(tagged, ["model"]))
+    counts = materialize(object_counts(objects))
     out = None
     for start in range(first, first + replicates, batch):
-        weights = materialize(bootstrap_weights(images, min(batch, first + replicates - start), start))
-        scored = materialize(bootstrap_metrics(tagged, counts, weights, ["model", "replicate"]))
+        size = min(batch, first + replicates - start)
+        weights = materialize(weight_table(bootstrap_weights(images, size, start), "replicate", size, start))
+        cells = evaluate_columns(rows, counts, ["model"], weights, size).withColumn("replicate", F.col("column") + start)
+        scored = materialize(summarize(cells, ["model", "replicate"]))
         base = scored.where(F.col("model") == reference).drop("model")
         for name in caches:
             if name != reference:
