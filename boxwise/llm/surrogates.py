@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxwise.llm.common import batch, map_arrow
+from boxwise.llm.common import batch, map_arrow, slices, text_bytes
 from boxwise.session import materialize
 
 #: Forms of address and the gender they tell.
@@ -61,6 +61,8 @@ ENDINGS = {
 }
 ROUNDS = 8
 #: Attempts after which the job gives up instead of keeping a clash.
+#: Bytes of text that a task looks at together.
+SLICE = 1 << 20
 ATTEMPTS = 50
 
 
@@ -181,11 +183,18 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
+def pieces(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``SLICE`` bytes of column ``at``."""
+    for b in batches:
+        for low, high in slices(text_bytes(b.column(at))[1], SLICE):
+            yield b.slice(low, high - low)
+
+
 def entities(df: DataFrame, text: str = "text") -> DataFrame:
     """(kind, norm): the distinct entities of a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 0):
             seen = sorted({(k, n) for x in b.column(0).to_pylist() if x for _, _, k, n in mentions(x)})
             yield batch(["kind", "norm"], [pa.array([k for k, _ in seen], pa.string()), pa.array([n for _, n in seen], pa.string())])
 
@@ -231,7 +240,7 @@ def replace(df: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     if clashes:
         # a few texts name an entity that needed a further attempt: they get those numbers by a join on the text's digest
         def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in pieces(batches, 1):
                 rows = sorted({(h, k, n) for h, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if x for _, _, k, n in mentions(x)})
                 yield batch(["h", "kind", "norm"], [pa.array([r[i] for r in rows], pa.string()) for i in range(3)])
 
@@ -244,7 +253,7 @@ def replace(df: DataFrame, key: bytes, text: str = "text") -> DataFrame:
         import json
 
         made: dict[tuple, str] = {}
-        for b in batches:
+        for b in pieces(batches, at):
             texts, counts = [], []
             later = b.column(len(names)).to_pylist() if clashes else None
             for i, x in enumerate(b.column(at).to_pylist()):
@@ -254,7 +263,7 @@ def replace(df: DataFrame, key: bytes, text: str = "text") -> DataFrame:
                 for s, e, kind, norm in spans:
                     who = (kind, norm, tries.get((kind, norm), 0))
                     if who not in made:
-                        if len(made) > 100_000:
+                        if len(made) > 20_000:
                             made.clear()
                         made[who] = replacement(key, *who)
                     parts += [x[end:s], shaped(kind, x[s:e], made[who])]
