@@ -190,6 +190,19 @@ def _(v):
     return CR.crop_neighbours(v.crops, v.objects)
 
 
+O.cte("board_near", "crops objects", """SELECT c.annotation_id, c.image_id // 256 AS board, crop_x0, crop_y0, crop_x0 + crop_width AS x1, crop_y0 + crop_height AS y1 FROM crops c""")
+O.cte("board_seen", "board_near", """SELECT n.annotation_id, o.annotation_id = n.annotation_id AS own, greatest(0, least(o.x + o.w, x1) - greatest(o.x, crop_x0)) * greatest(0, least(o.y + o.h, y1) - greatest(o.y, crop_y0)) AS shared, o.w * o.h AS whole
+ FROM board_near n JOIN objects o ON o.image_id // 256 = n.board""")
+
+
+@query("jn14_dense_context", "annotation_id:i source_neighbor_count:i retained_neighbor_count:i fully_removed_objects:i boundary_clipped_objects:i", "board_seen", """SELECT annotation_id, count(*) FILTER (NOT own) AS source_neighbor_count, count(*) FILTER (NOT own AND shared / whole >= 0.5) AS retained_neighbor_count,
+ count(*) FILTER (NOT own AND shared <= 0) AS fully_removed_objects, count(*) FILTER (NOT own AND shared > 0 AND shared / whole < 1 - 1e-12) AS boundary_clipped_objects FROM board_seen GROUP BY 1""")
+def _(v):
+    """Context of the crops on boards of 256 order keys: crops meet the objects that they overlap, others are counted by board."""
+    board = F.shiftright("image_id", 8)
+    return CR.crop_context(v.crops.withColumn("image_id", board), v.objects.withColumn("image_id", board))
+
+
 O.cte("inside", "kept", "SELECT annotation_id, object_id, is_target, oc - 1 AS class_index, (ix - crop_x0 + iw / 2) / crop_width AS cx, (iy - crop_y0 + ih / 2) / crop_height AS cy, iw / crop_width AS nw, ih / crop_height AS nh FROM kept WHERE supervised AND iw > 0 AND ih > 0")
 
 

@@ -118,6 +118,11 @@ for M, T in SCORES.items():
  FROM d_{M} d LEFT JOIN (SELECT p, iou, -a AS na, gc FROM pairs_{M} WHERE iou > 0 QUALIFY row_number() OVER (PARTITION BY p ORDER BY iou DESC, a) = 1) b ON b.p = d.prediction_index
  WHERE d.score >= {T!r}e0 AND NOT EXISTS (SELECT 1 FROM greedy_{M} g WHERE g.prediction_index = d.prediction_index)""")
 
+cte("dense_o", "objects", "SELECT * REPLACE (image_id // 4096 AS image_id) FROM objects")
+cte("dense_d", "d_a", "SELECT * REPLACE (image_id // 4096 AS image_id) FROM d_a")
+cte("dense_pairs", "dense_o dense_d", f"""SELECT o.image_id, o.annotation_id AS a, o.category_id AS gc, d.prediction_index AS p, d.category_id AS dc, d.score, {iou_sql()} AS iou
+ FROM dense_o o JOIN dense_d d ON o.image_id = d.image_id AND o.category_id = d.category_id AND {TOUCH}""")
+cte("dense_greedy", "dense_pairs", greedy_sql("dense_pairs", "image_id, gc", 0.5))
 cte("wide", "status_a status_b", """SELECT a.annotation_id, a.image_id, a.category_id, a.scale,
  a.status AS a_status, b.status AS b_status, a.detected AS a_detected, b.detected AS b_detected,
  a.matched_score AS a_ms, a.matched_iou AS a_mi, a.best_same_all_score AS a_bs, a.best_same_all_iou AS a_bi,

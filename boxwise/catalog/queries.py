@@ -253,6 +253,18 @@ def _(v):
     return M.greedy_match(v.objects, v.dets["a"].where(F.col("score") >= TA), hot=v.hot)
 
 
+@query("jn1_dense_pairs", "annotation_id:i prediction_index:i iou:d", "dense_pairs", "SELECT a AS annotation_id, p AS prediction_index, iou FROM dense_pairs WHERE iou >= 0.3")
+def _(v):
+    """Same-class pairs on boards of some thousand boxes, by the grid of levels."""
+    return M.iou_pairs(*v.dense, 0.3, True)
+
+
+@query("jn2_dense_match", "annotation_id:i prediction_index:i iou:d score:d", "dense_greedy", "SELECT * FROM dense_greedy")
+def _(v):
+    """Greedy match on the same boards, by connected parts of their pairs."""
+    return M.greedy_match(*v.dense)
+
+
 _BEST = "best_same_all best_same_op best_wrong".split()
 _BEST_SPEC = " ".join(f"{b}_prediction_index:i {b}_iou:d {b}_score:d" for b in _BEST) + " best_wrong_category_id:i"
 

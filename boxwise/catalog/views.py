@@ -53,6 +53,13 @@ class Views:
         both = self.dets["a"].select("image_id").unionByName(self.dets["b"].select("image_id"))
         return matching.hot_images(self.objects, both)
 
+    @cached_property
+    def dense(self) -> tuple[DataFrame, DataFrame]:
+        """Objects and detections of a laid on boards of 4,096 order keys, some thousand boxes each."""
+        board = F.shiftright("image_id", 12).alias("image_id")
+        others = lambda df: [c for c in df.columns if c != "image_id"]
+        return tuple(materialize(df.select(board, *others(df))) for df in (self.objects, self.dets["a"]))
+
     @cached_property
     def pairs(self) -> dict[str, DataFrame]:
         """Overlapping object-detection pairs: one image join per detector, for status and false positives."""

@@ -33,7 +33,7 @@ from boxwise.session import materialize
 
 COSINE = 0.93
 TREES = 8
-LEAF = 256
+LEAF = 512
 SPILL = 0.1
 #: Nodes of a group by which it is split, about.
 SAMPLE = 4096

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from boxwise import constants as K
 from boxwise.functions.geometry import clamp, letterbox_scale, scale_of
 from boxwise.functions.hashing import hash_uniform
+from boxwise.operators.grid import overlap_join
 from boxwise.operators.ranking import attach, distribution
 
 
@@ -59,19 +60,28 @@ def plan_crops(targets: DataFrame, policy: dict | None = None, seed=K.SAMPLING_S
     return v.drop("_f", "_min", "_max", "_t", "_w", "_h")
 
 
-def crop_neighbours(crops: DataFrame, objects: DataFrame) -> DataFrame:
-    """Every valid object of the target's image against the crop box, the target included.
-
-    Joined on the image; the pair rows are crops per image times its objects.
-    """
-    other = objects.where((F.col("w") > 0) & (F.col("h") > 0)).select(
+def _valid_objects(objects: DataFrame) -> DataFrame:
+    return objects.where((F.col("w") > 0) & (F.col("h") > 0)).select(
         "image_id",
         F.col("annotation_id").alias("object_id"),
         F.col("category_id").alias("object_category_id"),
         *[F.col(c).alias(f"o{c}") for c in "xywh"],
     )
+
+
+def crop_neighbours(crops: DataFrame, objects: DataFrame, overlapping: bool = False) -> DataFrame:
+    """Every valid object of the target's image against the crop box, the target included.
+
+    With ``overlapping`` only objects that the crop box overlaps: they meet on a grid of several levels, so images with very many
+    crops and objects don't pair all of them.
+    """
+    other = _valid_objects(objects)
     box = crops.select("annotation_id", "image_id", "crop_x0", "crop_y0", "crop_width", "crop_height")
-    v = box.join(other, "image_id")
+    if overlapping:
+        side = box.select("*", *[F.col(c).alias(f"_c{n}") for n, c in zip("xywh", ("crop_x0", "crop_y0", "crop_width", "crop_height"))])
+        v = overlap_join(side, other.withColumnRenamed("image_id", "_image"), "_c", "o").drop("_image", "_cx", "_cy", "_cw", "_ch")
+    else:
+        v = box.join(other, "image_id")
     x1, y1 = F.col("crop_x0") + F.col("crop_width"), F.col("crop_y0") + F.col("crop_height")
     zero = F.lit(0.0)
     v = v.withColumns(
@@ -100,7 +110,7 @@ def crop_neighbours(crops: DataFrame, objects: DataFrame) -> DataFrame:
 
 def crop_labels(crops: DataFrame, objects: DataFrame) -> DataFrame:
     """Normalised labels inside each crop; the target is always kept once."""
-    v = crop_neighbours(crops, objects).where(F.col("supervised") & (F.col("iw") > 0) & (F.col("ih") > 0))
+    v = crop_neighbours(crops, objects, overlapping=True).where(F.col("supervised") & (F.col("iw") > 0) & (F.col("ih") > 0))
     return v.select(
         "annotation_id",
         "object_id",
@@ -115,18 +125,26 @@ def crop_labels(crops: DataFrame, objects: DataFrame) -> DataFrame:
 
 def crop_context(crops: DataFrame, objects: DataFrame) -> DataFrame:
     """Per target: sizes in three coordinate spaces, amplification, margins, neighbours kept."""
-    pairs = crop_neighbours(crops, objects)
+    pairs = crop_neighbours(crops, objects, overlapping=True)
     near = ~F.col("is_target")
     target = lambda c: F.max(F.when(F.col("is_target"), F.col(c))).alias(f"t{c}")
     per = pairs.groupBy("annotation_id").agg(
-        F.count_if(near).alias("source_neighbor_count"),
+        F.count_if(near & (F.col("iw") * F.col("ih") > 0)).alias("_met"),
         F.count_if(near & F.col("retained")).alias("retained_neighbor_count"),
-        F.count_if(near & F.col("removed")).alias("fully_removed_objects"),
         F.count_if(near & F.col("clipped")).alias("boundary_clipped_objects"),
-        F.count_if("supervised").alias("crop_object_count"),
+        F.count_if("supervised").alias("_supervised"),
+        F.count_if("is_target").alias("_own_met"),
         *[target(c) for c in ("ix", "iy", "iw", "ih")],
     )
-    v = crops.join(per, "annotation_id")
+    # objects off the crop are known by number: those of the image, less the target, less those that were met
+    valid = _valid_objects(objects)
+    counts = valid.groupBy("image_id").agg(F.count("*").alias("_n"))
+    own = valid.select("image_id", F.col("object_id").alias("annotation_id"), F.lit(1).alias("_own"))
+    v = crops.join(counts, "image_id").join(own, ["image_id", "annotation_id"], "left").join(per, "annotation_id", "left")
+    v = v.na.fill(0, ["_own", "_met", "retained_neighbor_count", "boundary_clipped_objects", "_supervised", "_own_met"])
+    v = v.withColumn("source_neighbor_count", F.col("_n") - F.col("_own")).withColumn("fully_removed_objects", F.col("source_neighbor_count") - F.col("_met"))
+    # the target is supervised wherever the crop lies
+    v = v.withColumn("crop_object_count", F.col("_supervised") + F.col("_own") - F.col("_own_met")).drop("_n", "_own", "_met", "_supervised", "_own_met")
     full = letterbox_scale(F.col("width"), F.col("height"))
     zoom = letterbox_scale(F.col("crop_width"), F.col("crop_height"))
     area = F.col("w") * F.col("h")

@@ -2,8 +2,8 @@
 
 Everything joins on ``image_id`` first, so one shuffle by image serves pairs,
 greedy matches, best candidates and false positives. Images with very many boxes
-are found by a count and take another way: their boxes meet on a grid of cells,
-and their greedy match runs as rounds of joins instead of a fold over one group.
+are found by a count and take another way: their boxes meet on a grid of several levels,
+and their greedy match folds connected parts of the pairs instead of one group.
 """
 
 from __future__ import annotations
@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from boxwise import constants as K
 from boxwise.functions.geometry import iou
 from boxwise.functions.labels import first_true
+from boxwise.operators.grid import overlap_join, touching
+from boxwise.operators.parts import connected
 from boxwise.session import checkpoint, materialize
 
 # An image above this many boxes on either side is treated as hot.
-HOT_BOXES = 2000
-CELL = 64.0
-CELLS = 64
+HOT_BOXES = 500
+# Pairs of a connected part of a hot image that are folded at once; larger parts go by rounds.
+FOLD_PAIRS = 20_000
 
 
 def hot_images(objects: DataFrame, dets: DataFrame, limit: int = HOT_BOXES) -> DataFrame | None:
@@ -32,51 +34,19 @@ def hot_images(objects: DataFrame, dets: DataFrame, limit: int = HOT_BOXES) -> D
     return None if hot.isEmpty() else checkpoint(hot)
 
 
-def _cells(df: DataFrame, prefix: str) -> DataFrame:
-    """One row per grid cell the box touches; coordinates outside the grid use its edge cells."""
-
-    def cell(v: Column) -> Column:
-        return F.least(F.greatest(F.floor(v / CELL), F.lit(0)), F.lit(CELLS - 1)).cast("int")
-
-    c = lambda n: F.col(f"{prefix}{n}")
-    across = F.sequence(cell(c("x")), F.greatest(cell(c("x") + c("w")), cell(c("x"))))
-    down = F.sequence(cell(c("y")), F.greatest(cell(c("y") + c("h")), cell(c("y"))))
-    return df.withColumn("_cx", F.explode(across)).withColumn("_cy", F.explode(down))
-
-
 def _box_join(o: DataFrame, d: DataFrame, same_class: bool, hot: DataFrame | None, how: str) -> DataFrame:
-    touch = (
-        (F.col("gx") < F.col("dx") + F.col("dw"))
-        & (F.col("dx") < F.col("gx") + F.col("gw"))
-        & (F.col("gy") < F.col("dy") + F.col("dh"))
-        & (F.col("dy") < F.col("gy") + F.col("gh"))
-    )
-    if same_class:
-        touch = touch & (F.col("gt_category_id") == F.col("det_category_id"))
+    same = F.col("gt_category_id") == F.col("det_category_id") if same_class else None
     d = d.withColumnRenamed("image_id", "_image")
-    near = (F.col("image_id") == F.col("_image")) & touch
+    near = (F.col("image_id") == F.col("_image")) & touching("g", "d")
+    near = near & same if same_class else near
     if hot is None:
         return o.join(d, near, how).drop("_image")
+    # a few images are hot; only their ids are sent to all tasks, and only below a count of them
     ids = F.broadcast(hot) if hot.limit(100_001).count() <= 100_000 else hot
     d_ids = ids.withColumnRenamed("image_id", "_image")
     cold = o.join(ids, "image_id", "left_anti").join(d.join(d_ids, "_image", "left_anti"), near, how)
-    oc = _cells(o.join(ids, "image_id", "left_semi"), "g")
-    dc = _cells(d.join(d_ids, "_image", "left_semi"), "d").withColumnsRenamed({"_cx": "_dcx", "_cy": "_dcy"})
-    corner_x = F.greatest(F.col("gx"), F.col("dx"))
-    corner_y = F.greatest(F.col("gy"), F.col("dy"))
-
-    def cell(v: Column) -> Column:
-        return F.least(F.greatest(F.floor(v / CELL), F.lit(0)), F.lit(CELLS - 1)).cast("int")
-
-    # A pair is reported once: in the cell of the overlap's top-left corner.
-    meet = (
-        near
-        & (F.col("_cx") == F.col("_dcx"))
-        & (F.col("_cy") == F.col("_dcy"))
-        & (F.col("_cx") == cell(corner_x))
-        & (F.col("_cy") == cell(corner_y))
-    )
-    found = oc.join(dc, meet, "inner").drop("_cx", "_cy", "_dcx", "_dcy")
+    # written, so that later conditions aren't drawn into the join and computed for every candidate
+    found = materialize(overlap_join(o.join(ids, "image_id", "left_semi"), d.join(d_ids, "_image", "left_semi"), "g", "d", on=same))
     if how == "left":
         lonely = (
             o.join(ids, "image_id", "left_semi")
@@ -135,8 +105,8 @@ def iou_pairs(
     return pairs.where((F.col("iou") > 0) & (F.col("iou") >= min_iou))
 
 
-def _fold(pairs: DataFrame, tie: Column) -> DataFrame:
-    """Serial greedy choice inside each (image, class) as one fold over its sorted pairs.
+def _fold(pairs: DataFrame, tie: Column, within: list[str] | None = None) -> DataFrame:
+    """Serial greedy choice inside each (image, class), or the part of it named by ``within``, as one fold over its sorted pairs.
 
     Pairs are sorted by detection priority, then by that detection's preference, so
     the first pair whose two ends are both free is the greedy choice.
@@ -148,7 +118,7 @@ def _fold(pairs: DataFrame, tie: Column) -> DataFrame:
         tie.alias("tie"),
         F.col("annotation_id"),
     )
-    groups = pairs.groupBy("image_id", F.col("gt_category_id").alias("category_id")).agg(
+    groups = pairs.groupBy("image_id", F.col("gt_category_id").alias("category_id"), *(within or [])).agg(
         F.sort_array(F.collect_list(item)).alias("pairs")
     )
     empty = F.filter(F.col("pairs"), lambda _: F.lit(False))
@@ -219,7 +189,25 @@ def greedy_from_pairs(pairs: DataFrame, hot: DataFrame | None, tie: str = "first
     if hot is None:
         return _fold(pairs, order)
     cold = _fold(pairs.join(hot, "image_id", "left_anti"), order)
-    return cold.unionByName(_rounds(pairs.join(hot, "image_id", "left_semi"), order))
+    return cold.unionByName(_by_parts(pairs.join(hot, "image_id", "left_semi"), order))
+
+
+def _by_parts(pairs: DataFrame, order: Column, most: int | None = None) -> DataFrame:
+    """Greedy match of dense images: a choice never crosses a connected part of the pairs, so each part is folded alone.
+
+    The rare part of more than ``most`` pairs (a pile of like boxes) goes by rounds.
+    """
+    most = FOLD_PAIRS if most is None else most
+    keys = ["image_id", "gt_category_id"]
+    pairs = materialize(pairs)
+    edges = pairs.select(*keys, F.struct(F.lit(0).alias("side"), F.col("annotation_id").alias("id")).alias("a"), F.struct(F.lit(1).alias("side"), F.col("prediction_index").alias("id")).alias("b"))
+    named = connected(edges, keys).where("node.side = 0").select(*keys, F.col("node.id").alias("annotation_id"), F.col("part.id").alias("_part"))
+    placed = materialize(pairs.join(named, [*keys, "annotation_id"]))
+    large = materialize(placed.groupBy(*keys, "_part").agg(F.count("*").alias("n")).where(F.col("n") > most).drop("n"))
+    if large.isEmpty():
+        return _fold(placed, order, ["_part"])
+    group = [*keys, "_part"]
+    return _fold(placed.join(large, group, "left_anti"), order, ["_part"]).unionByName(_rounds(placed.join(large, group, "left_semi").drop("_part"), order))
 
 
 def greedy_match(
