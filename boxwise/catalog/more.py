@@ -732,6 +732,15 @@ def _(v):
     return RD.read_box_labels(v.spark, path, multiline=False)[1]
 
 
+@query("src2_image_ids", "image_id:i name:s weather:s scene:s timeofday:s", "images", "SELECT row_number() OVER (ORDER BY image_id) AS image_id, CAST(image_id AS VARCHAR) AS name, weather, scene, timeofday FROM images")
+def _(v):
+    """Image ids by the order of label records in their files."""
+    path = _path(v)
+    record = v.images.select("image_id", F.col("image_id").cast("string").alias("name"), F.struct("weather", "scene", "timeofday").alias("attributes"))
+    record.orderBy("image_id").drop("image_id").write.json(path)
+    return RD.read_box_labels(v.spark, path, multiline=False, numbered=True)[0]
+
+
 @query("src3_read_polygon_labels", "object_id:i category:s x1:d y1:d x2:d y2:d occluded:b truncated:b", "objects", f"SELECT annotation_id AS object_id, {_NAME} AS category, x AS x1, y AS y1, x + w AS x2, y + h AS y2, occluded, truncated FROM objects WHERE rn % 6 <> 5")
 def _(v):
     flags = F.expr("concat(\"{'occluded': \", IF(occluded, 'True', 'False'), \", 'truncated': \", IF(truncated, 'True', 'False'), '}')")

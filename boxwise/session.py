@@ -52,6 +52,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def remove_written(spark: SparkSession) -> int:
+    """Remove the tables that this application wrote by ``materialize``, and return their number.
+
+    For the end of a job: frames made from these tables can't be read afterwards.
+    """
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table used several times to the shared folder and read it back.
 
@@ -60,5 +75,6 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/boxwise-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import StructType
 
+from boxwise.session import materialize
+
 _COCO = """
 images array<struct<id: bigint, file_name: string, width: int, height: int,
   attributes: struct<weather: string, scene: string, timeofday: string>>>,
@@ -64,13 +66,36 @@ labels array<struct<id: string, category: string, box2d: struct<x1: double, y1:
 """
 
 
-def read_box_labels(spark: SparkSession, path: str, multiline: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(images, labelled corner boxes) of a list of per-image label records."""
+def in_file_order(records: DataFrame, name: str) -> DataFrame:
+    """Rows read from files, numbered from 1 by path, then place in the file; written once, so that the numbers stay.
+
+    Rows of a block of a file are numbered where they are read; only a row per block is counted up.
+    """
+    block = ["_path", "_start"]
+    placed = materialize(
+        records.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row"))
+    )
+    sizes = placed.groupBy(*block).agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy(*block).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(*block, (before - F.col("_first") + 1).alias("_offset"))
+    return placed.join(offsets, block).withColumn(name, F.col("_row") + F.col("_offset")).drop(*block, "_row", "_offset")
+
+
+def read_box_labels(spark: SparkSession, path: str, multiline: bool = True, numbered: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(images, labelled corner boxes) of a list of per-image label records.
+
+    With ``numbered`` both have an image_id, the place of the record in its file and of the file by path, from 1. A
+    record without a name is an error then.
+    """
     records = spark.read.schema(_BOX_LABELS).json(path, multiLine=multiline, mode="FAILFAST")
-    images = records.select("name", *[f"attributes.{n}" for n in ("weather", "scene", "timeofday")])
-    label = records.select("name", F.posexplode("labels").alias("label_index", "l")).where(F.col("l.box2d").isNotNull())
+    key = ["name"]
+    if numbered:
+        records = in_file_order(records.withColumn("name", _present(F.nullif("name", F.lit("")), "a label record has no name")), "image_id")
+        key = ["image_id", "name"]
+    images = records.select(*key, *[f"attributes.{n}" for n in ("weather", "scene", "timeofday")])
+    label = records.select(*key, F.posexplode("labels").alias("label_index", "l")).where(F.col("l.box2d").isNotNull())
     boxes = label.select(
-        "name", "label_index", "l.category", *[f"l.box2d.{c}" for c in ("x1", "y1", "x2", "y2")],
+        *key, "label_index", "l.category", *[f"l.box2d.{c}" for c in ("x1", "y1", "x2", "y2")],
         F.coalesce("l.attributes.occluded", F.lit(False)).alias("occluded"),
         F.coalesce("l.attributes.truncated", F.lit(False)).alias("truncated"),
     )

@@ -95,3 +95,31 @@ def test_short_quotas_and_strata(spark):
     assert [(r.required, r.selected) for r in S.shortfall(short, need, ["failure_group"]).collect()] == [(9, short.count())]
     with pytest.raises(ValueError, match="can't be filled"):
         S.matched_sample(risk.limit(2), risk, "class", "top_risk")
+
+
+def test_image_ids_follow_files_and_records(spark, tmp_path):
+    import json
+
+    for k, names in enumerate((["c", "a"], ["b"], ["z", "y", "x"])):
+        (tmp_path / f"part{k}.json").write_text(json.dumps([{"name": n, "labels": [{"category": "car", "box2d": {"x1": 0, "y1": 0, "x2": 2, "y2": 2}}]} for n in names]))
+    images, boxes = RD.read_box_labels(spark, str(tmp_path), numbered=True)
+    assert [(r.image_id, r.name) for r in images.orderBy("image_id").collect()] == list(enumerate("cabzyx", 1))
+    assert {(r.image_id, r.name) for r in boxes.collect()} == set(enumerate("cabzyx", 1))
+    (tmp_path / "part3.json").write_text(json.dumps([{"labels": []}]))
+    with pytest.raises(Exception, match="no name"):
+        RD.read_box_labels(spark, str(tmp_path), numbered=True)[0].collect()
+
+
+def test_written_tables_are_removed(folder):
+    import os
+
+    from boxwise import session
+
+    # the bookkeeping of other tests is set aside, so that their tables stay
+    spark = session.local_session(4, 4)
+    app, kept = spark.sparkContext.applicationId, session._WRITTEN.pop(spark.sparkContext.applicationId, [])
+    table = session.materialize(spark.range(3))
+    path = session._WRITTEN[app][0].removeprefix("file://").removeprefix("file:")
+    assert table.count() == 3 and os.path.exists(path)
+    assert session.remove_written(spark) == 1 and not os.path.exists(path)
+    session._WRITTEN[app] = kept
