@@ -49,6 +49,8 @@ def main() -> None:
         "agg18_coco_eval_by_condition",
         "agg19_subset_recovery",
         "st1_paired_bootstrap",
+        "st1_bootstrap_evidence",
+        "st8_sensitivity",
         "agg20_exposure_summary",
         "agg22_crop_context",
         "smp5_typed_quota_sample",

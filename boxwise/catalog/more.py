@@ -24,6 +24,7 @@ from boxwise.operators import ranking as RK
 from boxwise.operators import risk as RI
 from boxwise.operators import sampling as S
 from boxwise.operators import segments as SG
+from boxwise.operators import sensitivity as SE
 from boxwise.operators import stats as ST
 from boxwise.session import materialize, shared_folder
 from boxwise.sources import readers as RD
@@ -634,6 +635,14 @@ def _(v):
     return C.plateau(C.threshold_grid(v.events, v.gt_counts, 0.305))
 
 
+@query("st8_sensitivity", "combination:s subset:s objects:i images:i central_objects:i intersection:i union:i jaccard:d", "combined_sets", """SELECT s.*, c.objects AS central_objects, met AS "intersection", s.objects + c.objects - met AS "union", met / (s.objects + c.objects - met) AS jaccard FROM (
+ SELECT combination, subset, count(*) AS objects, count(DISTINCT image_id) AS images, count(*) FILTER (WHERE m.annotation_id IS NOT NULL) AS met FROM combined_sets s LEFT JOIN (SELECT subset, annotation_id FROM combined_sets WHERE combination = 'a_central__b_central') m USING (subset, annotation_id) GROUP BY 1, 2) s
+ JOIN (SELECT subset, count(*) AS objects FROM combined_sets WHERE combination = 'a_central__b_central' GROUP BY 1) c USING (subset)""")
+def _(v):
+    """Failure subsets at nine combinations of operating points against the central one, from one match per detector."""
+    return SE.sensitivity(v.objects, v.pairs, O.POINTS, "a_central__b_central", v.hot)
+
+
 @query("st8_combinations", "combination:s a_threshold:d b_threshold:d", "grid", f"SELECT 'a_' || l.point || '__b_' || r.point AS combination, l.threshold AS a_threshold, r.threshold AS b_threshold FROM ({_PLATEAU}) l, ({_PLATEAU}) r")
 def _(v):
     p = C.plateau(C.threshold_grid(v.events, v.gt_counts, 0.305))

@@ -87,18 +87,16 @@ def cte(name: str, deps: str, text: str) -> None:
 cte("objects0", "", OBJECTS_SQL.replace("{lineitem}", "lineitem"))
 cte("objects", "objects0", "SELECT *, " + SCALE.format("area") + " AS scale, rn % 3 = 0 AS occluded, rn % 5 = 0 AS truncated FROM objects0")
 cte("images", "", IMAGES_SQL.replace("{orders}", "orders"))
-for M, T in SCORES.items():
-    cte(f"d_{M}", "objects", _detections(M))
-    cte(f"pairs_{M}", f"d_{M}", f"""SELECT o.image_id, o.annotation_id AS a, o.category_id AS gc, o.area AS garea, d.prediction_index AS p,
- d.category_id AS dc, d.score, {iou_sql()} AS iou FROM objects o JOIN d_{M} d ON o.image_id = d.image_id AND {TOUCH}""")
-    cte(f"greedy_{M}", f"pairs_{M}", greedy_sql(f"pairs_{M}", "image_id, gc", 0.5, where=f"gc = dc AND score >= {T!r}e0"))
-    cte(f"best_{M}", f"pairs_{M}", f"""SELECT a,
+def status_ctes(tag: str, M: str, T: float) -> None:
+    """Match, best candidates and status of detector M at the threshold T."""
+    cte(f"greedy_{tag}", f"pairs_{M}", greedy_sql(f"pairs_{M}", "image_id, gc", 0.5, where=f"gc = dc AND score >= {T!r}e0"))
+    cte(f"best_{tag}", f"pairs_{M}", f"""SELECT a,
  arg_max(p, r) FILTER (WHERE same) AS sa_p, coalesce(max(iou) FILTER (WHERE same), 0) AS sa_iou, arg_max(score, r) FILTER (WHERE same) AS sa_s,
  arg_max(p, r) FILTER (WHERE same AND op) AS so_p, coalesce(max(iou) FILTER (WHERE same AND op), 0) AS so_iou, arg_max(score, r) FILTER (WHERE same AND op) AS so_s,
  arg_max(p, r) FILTER (WHERE NOT same AND op) AS wr_p, coalesce(max(iou) FILTER (WHERE NOT same AND op), 0) AS wr_iou, arg_max(score, r) FILTER (WHERE NOT same AND op) AS wr_s,
  arg_max(dc, r) FILTER (WHERE NOT same AND op) AS wr_c
  FROM (SELECT *, gc = dc AS same, score >= {T!r}e0 AS op, -row_number() OVER (PARTITION BY a ORDER BY iou DESC, p) AS r FROM pairs_{M}) GROUP BY a""")
-    cte(f"status_{M}", f"greedy_{M} best_{M}", f"""SELECT o.image_id, o.annotation_id, o.category_id, o.scale, g.prediction_index AS matched_prediction_index, g.iou AS matched_iou, g.score AS matched_score,
+    cte(f"status_{tag}", f"greedy_{tag} best_{tag}", f"""SELECT o.image_id, o.annotation_id, o.category_id, o.scale, g.prediction_index AS matched_prediction_index, g.iou AS matched_iou, g.score AS matched_score,
  b.sa_p AS best_same_all_prediction_index, coalesce(b.sa_iou, 0) AS best_same_all_iou, b.sa_s AS best_same_all_score,
  b.so_p AS best_same_op_prediction_index, coalesce(b.so_iou, 0) AS best_same_op_iou, b.so_s AS best_same_op_score,
  b.wr_p AS best_wrong_prediction_index, coalesce(b.wr_iou, 0) AS best_wrong_iou, b.wr_s AS best_wrong_score, b.wr_c AS best_wrong_category_id,
@@ -109,7 +107,14 @@ for M, T in SCORES.items():
   WHEN b.sa_iou >= 0.5 AND b.sa_s < {T!r}e0 THEN 'low_confidence_candidate' WHEN b.wr_iou >= 0.5 THEN 'class_confusion_candidate'
   WHEN b.so_iou >= 0.1 AND b.so_iou < 0.5 THEN 'localization_candidate' ELSE 'missed' END AS status_v,
  g.prediction_index IS NOT NULL AS detected
- FROM objects o LEFT JOIN greedy_{M} g USING (annotation_id) LEFT JOIN best_{M} b ON b.a = o.annotation_id""")
+ FROM objects o LEFT JOIN greedy_{tag} g USING (annotation_id) LEFT JOIN best_{tag} b ON b.a = o.annotation_id""")
+
+
+for M, T in SCORES.items():
+    cte(f"d_{M}", "objects", _detections(M))
+    cte(f"pairs_{M}", f"d_{M}", f"""SELECT o.image_id, o.annotation_id AS a, o.category_id AS gc, o.area AS garea, d.prediction_index AS p,
+ d.category_id AS dc, d.score, {iou_sql()} AS iou FROM objects o JOIN d_{M} d ON o.image_id = d.image_id AND {TOUCH}""")
+    status_ctes(M, M, T)
     cte(f"fp_{M}", f"greedy_{M}", f"""SELECT d.*, -(b.na) AS best_gt_annotation_id, b.gc AS best_gt_category_id, coalesce(b.iou, 0) AS best_gt_iou,
  CASE WHEN b.iou >= 0.5 AND d.category_id = b.gc THEN 'duplicate_candidate' WHEN b.iou >= 0.5 THEN 'classification_candidate'
   WHEN b.iou >= 0.1 AND d.category_id = b.gc THEN 'localization_candidate' WHEN b.iou >= 0.1 THEN 'overlap_candidate' ELSE 'background_candidate' END AS fp_type,
@@ -147,6 +152,33 @@ cte("joint", "quality", f"""SELECT *, 1e0 - (1e0 - consensus_risk) * (1e0 - disa
  SELECT *, {_WA!r}e0 * (1e0 - a_quality) + {_WB!r}e0 * (1e0 - b_quality) AS consensus_risk, abs((1e0 - a_quality) - (1e0 - b_quality)) AS disagreement FROM quality)""")
 
 
+#: (threshold, macro F1) of the operating points of the sensitivity query.
+POINTS = {"a": {"low": (0.15, 0.6), "central": (0.22, 0.62), "high": (0.35, 0.61)}, "b": {"low": (0.2, 0.58), "central": (0.3, 0.6), "high": (0.45, 0.57)}}
+for M, own in POINTS.items():
+    for P, (T, _) in own.items():
+        status_ctes(f"{M}_{P}", M, T)
+_COMBINED = [(p, q) for p in POINTS["a"] for q in POINTS["b"]]
+_SIDES = ", ".join(f"{m}.status AS {m}_status, {m}.detected AS {m}_detected, {m}.matched_score AS {m}_ms, {m}.matched_iou AS {m}_mi, {m}.best_same_all_score AS {m}_bs, {m}.best_same_all_iou AS {m}_bi" for m in "ab")
+
+
+def _combined_sql(p: str, q: str) -> str:
+    (ta, fa), (tb, fb) = POINTS["a"][p], POINTS["b"][q]
+    inner = f"SELECT a.annotation_id, a.image_id, a.category_id, a.scale, {_SIDES} FROM status_a_{p} a JOIN status_b_{q} b USING (annotation_id)"
+    return f"""SELECT 'a_{p}__b_{q}' AS combination, *, 1e0 - (1e0 - ({fa / (fa + fb)!r}e0 * (1e0 - qa) + {fb / (fa + fb)!r}e0 * (1e0 - qb))) * (1e0 - abs((1e0 - qa) - (1e0 - qb))) AS joint
+ FROM (SELECT *, {quality_sql('a', ta)} AS qa, {quality_sql('b', tb)} AS qb FROM ({inner}))"""
+
+
+cte("combined", " ".join(f"status_{m}_{p}" for m in "ab" for p in POINTS[m]), " UNION ALL ".join(_combined_sql(p, q) for p, q in _COMBINED))
+_MID = "(rank() OVER ({0} ORDER BY joint) - 1 + (count(*) OVER ({0}, joint) - 1) / 2e0) / (count(*) OVER ({0}) - 1)"
+cte("combined_risk", "combined", f"""SELECT *, cn / (cn + {K.CLASS_PRIOR!r}e0) * cp + (1e0 - cn / (cn + {K.CLASS_PRIOR!r}e0)) * gp AS risk_score FROM (
+ SELECT *, {_MID.format('PARTITION BY combination')} AS gp, {_MID.format('PARTITION BY combination, category_id')} AS cp,
+ count(*) OVER (PARTITION BY combination, category_id) AS cn FROM combined)""")
+cte("combined_sets", "combined_risk", """SELECT combination, annotation_id, image_id, unnest(list_filter([CASE WHEN scale = 'small' AND NOT a_detected AND NOT b_detected THEN 'small_jointly_missed' END,
+ CASE WHEN b_detected AND NOT a_detected THEN 'b_supported_a_failure' END, CASE WHEN a_status = 'low_confidence_candidate' THEN 'a_low_confidence' END,
+ CASE WHEN a_status = 'localization_error_candidate' THEN 'a_localization' END, CASE WHEN a_status = 'classification_error_candidate' THEN 'a_classification' END,
+ CASE WHEN scale = 'small' AND risk_score >= 0.75e0 THEN 'small_high_risk' END], lambda x: x IS NOT NULL)) AS subset FROM combined_risk""")
+
+
 def mid_sql(value: str, by: str = "") -> str:
     part = f"PARTITION BY {by}" if by else ""
     same = f"PARTITION BY {by}, {value}" if by else f"PARTITION BY {value}"

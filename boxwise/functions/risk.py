@@ -10,10 +10,14 @@ from boxwise.functions.geometry import clamp
 from boxwise.functions.labels import first_true
 
 
-def confidence_support(score: Column, threshold: float) -> Column:
+def confidence_support(score: Column, threshold: float | Column) -> Column:
     """Piecewise linear map of a score: 0 at 0, one half at the threshold, 1 at 1."""
     s = clamp(F.coalesce(score, F.lit(0.0)), F.lit(0.0), F.lit(1.0))
     half = F.lit(0.5)
+    if isinstance(threshold, Column):
+        below = F.when(threshold <= 0, half).otherwise(half * s / threshold)
+        above = F.when(threshold >= 1, half).otherwise(half + half * (s - threshold) / (1.0 - threshold))
+        return F.when(s <= threshold, below).otherwise(above)
     below = half if threshold <= 0 else half * s / F.lit(threshold)
     above = half if threshold >= 1 else half + half * (s - threshold) / F.lit(1.0 - threshold)
     return F.when(s <= threshold, below).otherwise(above)

@@ -11,9 +11,11 @@ from boxwise.operators.ranking import attach, mid_percentile, quantiles
 from boxwise.session import materialize
 
 
-def risk_table(wide: DataFrame, thresholds=None, macro_f1=None, float32: bool = False) -> DataFrame:
+def risk_table(wide: DataFrame, thresholds=None, macro_f1=None, float32: bool = False, by: list[str] | None = None) -> DataFrame:
     """Qualities, joint risk, percentiles, shrunk score and tier of every object.
 
+    Thresholds and F1 by detector may be columns; ``by`` names columns within whose values objects are ranked.
+
     ``float32`` stores the joint risk in single precision before ranking, which makes
     more ties; double is the default.
     """
@@ -31,10 +33,11 @@ def risk_table(wide: DataFrame, thresholds=None, macro_f1=None, float32: bool =
     v = v.withColumns({"consensus_risk": consensus, "disagreement": disagreement, "joint_raw_risk": joint})
     # The ranks read this table several times: the match behind it must run once.
     v = materialize(v)
-    v = mid_percentile(v, "joint_raw_risk", [], "global_percentile")
-    v = mid_percentile(v, "joint_raw_risk", ["category_id"], "class_percentile")
-    n = v.groupBy("category_id").agg(F.count("*").alias("class_count"))
-    v = v.join(F.broadcast(n), "category_id")
+    by = by or []
+    v = mid_percentile(v, "joint_raw_risk", by, "global_percentile")
+    v = mid_percentile(v, "joint_raw_risk", [*by, "category_id"], "class_percentile")
+    n = v.groupBy(*by, "category_id").agg(F.count("*").alias("class_count"))
+    v = v.join(n, [*by, "category_id"])
     v = v.withColumn("risk_score", R.shrunk_score(F.col("class_count"), F.col("class_percentile"), F.col("global_percentile")))
     return v.withColumn("risk_tier", R.risk_tier(F.col("risk_score")))
 
