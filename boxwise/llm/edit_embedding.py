@@ -25,8 +25,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from boxwise.llm.common import batch, map_arrow, mix, ship
+from boxwise.session import materialize
 
 SEED = 20240229
 SAMPLES = 32
@@ -244,13 +246,18 @@ def distance_within(a: str, b: str, most: int) -> int | None:
     return None
 
 
+#: Texts of a band below which each meets ``BEFORE`` others besides the first.
+MODERATE = 1000
+BEFORE = 7
+
+
 def near_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", share: float = 0.1) -> DataFrame:
     """(a, b, distance): texts whose edit distance is at most ``share`` of the longer one.
 
     A band hashes ``ROWS`` sampled characters of the octaves of a length class, and each text
     is banded in its own class and the one below. Equal texts stand for each other: pairs are between
-    the smallest keys of different texts; in a band each text meets the first of its band only,
-    other pairs follow through it.
+    the smallest keys of different texts. In a band each text meets the first one, and in bands of at most ``MODERATE`` texts
+    the ``BEFORE`` ones before it too; other pairs of larger bands are found if they share a smaller band.
     """
     rows = df.filter(F.col(key).isNotNull()).groupBy(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).agg(F.min(key).alias("k")).select(F.col("k").cast("long"), "t")
 
@@ -272,8 +279,14 @@ def near_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", share: fl
             yield batch(["k", "band"], [pa.array(ids, pa.int64()), pa.array(bands, pa.string())])
 
     banded = map_arrow(rows, run, "k bigint, band string")
+    banded = materialize(banded)
     firsts = banded.groupBy("band").agg(F.min("k").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    pairs = banded.join(firsts, "band").filter("a < k").select("a", F.col("k").alias("b")).distinct()
+    met = banded.join(firsts, "band")
+    # the first one may be too far: in bands of moderate size each meets the ones before it too, in small ones all of them
+    order = W.partitionBy("band").orderBy("k")
+    before = F.array(*[F.lag("k", i).over(order) for i in range(1, BEFORE + 1)])
+    near = met.filter(F.col("n") <= MODERATE).select("k", before.alias("before")).select(F.explode("before").alias("a"), F.col("k").alias("b")).filter("a is not null")
+    pairs = met.select("a", F.col("k").alias("b")).unionByName(near).filter("a < b").distinct()
     full = pairs.join(rows.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a").join(rows.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b")
 
     @F.pandas_udf("long")

@@ -90,6 +90,18 @@ def test_near_pairs_find_edited_copies(spark):
     assert E.distance_within("", "abc", 3) == 3 and E.distance_within("abc", "abc", 0) == 0
 
 
+def test_near_pairs_behind_a_first_text_that_is_too_far(spark):
+    r = rnd(12)
+    rows = []
+    for i in range(30):
+        text = prose(r, 150)
+        cut = int(0.8 * len(text))
+        rows += [(i, text[:cut] + prose(r, 40)), (100 + i, text), (200 + i, text[:-4] + "#" + text[-3:])]
+    pairs = {(p.a, p.b) for p in E.near_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum((100 + i, 200 + i) in pairs for i in range(30)) >= 27
+    assert all((b - a) % 100 == 0 for a, b in pairs)
+
+
 def test_query(spark, small):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     check(rows, catalog.QUERIES["op1_edit_fingerprint"](spark, small).collect())
