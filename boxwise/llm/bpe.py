@@ -29,7 +29,7 @@ from boxwise.llm.common import batch, map_arrow
 #: Fixed value: the pattern of byte-level pieces.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Most pieces that a worker keeps.
-CACHE = 600_000
+CACHE = 300_000
 #: Characters of a piece from which it isn't kept.
 LONG = 64
 
