@@ -57,14 +57,15 @@ def _detections(model: str) -> str:
 
 
 def iou_sql(a: str = "o", b: str = "d") -> str:
-    inter = (
-        f"(greatest(least({a}.x+{a}.w, {b}.x+{b}.w) - greatest({a}.x, {b}.x), 0e0)"
-        f" * greatest(least({a}.y+{a}.h, {b}.y+{b}.h) - greatest({a}.y, {b}.y), 0e0))"
-    )
+    inter = inter_sql(a, b)
     return f"({inter} / ({a}.w*{a}.h + {b}.w*{b}.h - {inter}))"
 
 
 TOUCH = "o.x < d.x+d.w AND d.x < o.x+o.w AND o.y < d.y+d.h AND d.y < o.y+o.h"
+def inter_sql(a: str = "o", b: str = "d") -> str:
+    return f"(greatest(least({a}.x+{a}.w, {b}.x+{b}.w) - greatest({a}.x, {b}.x), 0e0) * greatest(least({a}.y+{a}.h, {b}.y+{b}.h) - greatest({a}.y, {b}.y), 0e0))"
+
+
 TAKE = "lambda acc, q: CASE WHEN len(list_filter(acc, lambda m: m.a = q.a OR m.p = q.p)) > 0 THEN acc ELSE list_append(acc, q) END"
 SCALE = "CASE WHEN {0} < 1024 THEN 'small' WHEN {0} < 9216 THEN 'medium' ELSE 'large' END"
 
@@ -257,11 +258,26 @@ for M in SCORES:
  CASE WHEN f.ign OR (f.p IS NULL AND NOT (r.w * r.h BETWEEN c.lo AND c.hi)) THEN 1 ELSE 0 END AS ign
  FROM cut_{M} r JOIN cells c ON true LEFT JOIN found_{M} f ON f.p = r.prediction_index AND f.area = c.area AND f.thr = c.thr""")
 
+# Crowds: always ignored, measured by the part of the detection that they cover, matched any number of times.
+cte("crowd_o", "objects", """SELECT * REPLACE (w * h AS area) FROM (SELECT * REPLACE (CASE WHEN rn % 4 = 3 THEN x - w ELSE x END AS x, CASE WHEN rn % 4 = 3 THEN y - h ELSE y END AS y,
+ CASE WHEN rn % 4 = 3 THEN w * 3 ELSE w END AS w, CASE WHEN rn % 4 = 3 THEN h * 3 ELSE h END AS h), rn % 4 = 3 AS crowd FROM objects)""")
+cte("crowd_pairs", "crowd_o cut_a", f"""SELECT o.image_id, o.annotation_id AS a, o.category_id AS gc, o.area AS garea, o.crowd, d.prediction_index AS p, d.rank,
+ CASE WHEN o.crowd THEN {inter_sql()} / (d.w * d.h) ELSE {iou_sql()} END AS iou FROM crowd_o o JOIN cut_a d ON o.image_id = d.image_id AND o.category_id = d.category_id AND {TOUCH}""")
+_CROWD_TAKE = "lambda acc, q: CASE WHEN len(list_filter(acc, lambda m: (m.a = q.a AND NOT q.c) OR m.p = q.p)) > 0 THEN acc ELSE list_append(acc, q) END"
+cte("found_crowd", "crowd_pairs cells", f"""SELECT area, thr, m.p AS p, m.ign AS ign FROM (
+ SELECT image_id, gc, area, thr, unnest(list_reduce(ps, {_CROWD_TAKE}, ps[1:0])) AS m FROM (
+  SELECT image_id, gc, area, thr, list(struct_pack(p := p, a := a, c := crowd, ign := ign) ORDER BY rank, ign, iou DESC, a DESC) AS ps
+  FROM (SELECT x.*, c.area, c.thr, x.crowd OR NOT (x.garea BETWEEN c.lo AND c.hi) AS ign FROM crowd_pairs x JOIN cells c ON x.iou >= c.iou) GROUP BY ALL))""")
+cte("hit_crowd", "found_crowd cut_a cells", """SELECT r.image_id, r.category_id, r.prediction_index, r.score, r.rank, c.area, c.thr, CASE WHEN f.p IS NOT NULL AND NOT f.ign THEN 1 ELSE 0 END AS tp,
+ CASE WHEN f.ign OR (f.p IS NULL AND NOT (r.w * r.h BETWEEN c.lo AND c.hi)) THEN 1 ELSE 0 END AS ign
+ FROM cut_a r JOIN cells c ON true LEFT JOIN found_crowd f ON f.p = r.prediction_index AND f.area = c.area AND f.thr = c.thr""")
+cte("gtc_crowd", "crowd_o cells", "SELECT o.image_id, o.category_id, c.area, count(*) AS n FROM crowd_o o JOIN cells c ON c.thr = 0 AND NOT o.crowd AND o.area BETWEEN c.lo AND c.hi GROUP BY ALL")
+
 
-def precision_ctes(tag: str, model: str, by: str = "", join: str = "", weight: str = "1", deps: str = "") -> None:
+def precision_ctes(tag: str, model: str, by: str = "", join: str = "", weight: str = "1", deps: str = "", counts: str = "gtc") -> None:
     """CTEs cells_<tag> and summary_<tag>; ``by`` ends with a comma when given."""
     keys = f"{by} category_id"
-    cte(f"gt_{tag}", f"gtc {deps}", f"SELECT {keys}, area, sum(n * {weight}) AS gt FROM gtc {join} GROUP BY ALL HAVING sum(n * {weight}) > 0")
+    cte(f"gt_{tag}", f"{counts} {deps}", f"SELECT {keys}, area, sum(n * {weight}) AS gt FROM {counts} {join} GROUP BY ALL HAVING sum(n * {weight}) > 0")
     cte(f"run_{tag}", f"hit_{model} {deps}", f"""SELECT {keys}, area, thr, tp, rank, {weight} AS wt, sum(tp * {weight}) OVER w AS t, sum((1 - ign) * {weight}) OVER w AS n FROM hit_{model} {join}
  WINDOW w AS (PARTITION BY {keys}, area, thr ORDER BY score DESC, image_id, rank ROWS UNBOUNDED PRECEDING)""")
     cte(f"point_{tag}", f"run_{tag} gt_{tag}", f"""SELECT {keys}, area, thr, k, max(prec) AS prec FROM (
@@ -286,6 +302,7 @@ def precision_ctes(tag: str, model: str, by: str = "", join: str = "", weight: s
 
 for M in SCORES:
     precision_ctes(M, M)
+precision_ctes("crowd", "crowd", counts="gtc_crowd")
 cte("membership", "images", "SELECT image_id AS mi, 'overall' AS dimension, 'all' AS value FROM images " + " ".join(f"UNION ALL SELECT image_id, '{d}', {d} FROM images" for d in ("timeofday", "weather", "scene")))
 precision_ctes("cond", "a", "dimension, value,", "JOIN membership ON mi = image_id", deps="membership")
 #: Replicates of the bootstrap's metrics in SQL, which copies every detection for each of them and forty cells.

@@ -531,6 +531,17 @@ def _(v):
     return one("a").unionByName(one("b"))
 
 
+@query("agg16_coco_eval_crowds", _TWELVE_SPEC, "summary_crowd", "SELECT * FROM summary_crowd")
+def _(v):
+    return P.coco_eval(v.crowds, v.dets["a"], v.crowd_cache)
+
+
+@query("agg16_crowd_matches", "area:i threshold:i hits:i ignored:i", "hit_crowd", "SELECT area, thr AS threshold, sum(tp) AS hits, sum(ign) AS ignored FROM hit_crowd GROUP BY 1, 2")
+def _(v):
+    cells = F.inline(F.expr(f"transform(sequence(0, {P.CELLS - 1}), c -> struct(c DIV {P.THRESHOLDS} AS area, c % {P.THRESHOLDS} AS threshold, shiftright(tp, c) & 1 AS hit, shiftright(ignored, c) & 1 AS ign))"))
+    return v.crowd_cache.select(cells).groupBy("area", "threshold").agg(F.sum("hit").alias("hits"), F.sum("ign").alias("ignored"))
+
+
 @query("agg17_coco_eval_per_class", "category_id:i AP:d AP50:d AP75:d AR100:d objects:i detections:i images_with_object:i images_with_detection:i", "classes_a objects d_a", """SELECT * FROM classes_a JOIN (SELECT category_id, count(*) AS objects, count(DISTINCT image_id) AS images_with_object FROM objects GROUP BY 1) USING (category_id)
  JOIN (SELECT category_id, count(*) AS detections, count(DISTINCT image_id) AS images_with_detection FROM d_a GROUP BY 1) USING (category_id)""")
 def _(v):

@@ -60,6 +60,18 @@ class Views:
         others = lambda df: [c for c in df.columns if c != "image_id"]
         return tuple(materialize(df.select(board, *others(df))) for df in (self.objects, self.dets["a"]))
 
+    @cached_property
+    def crowds(self) -> DataFrame:
+        """Objects of which every fourth is a crowd, three times as wide and high around its middle."""
+        crowd = F.col("rn") % 4 == 3
+        wide = lambda low, side: {low: F.when(crowd, F.col(low) - F.col(side)).otherwise(F.col(low)), side: F.when(crowd, F.col(side) * 3).otherwise(F.col(side))}
+        sized = self.objects.withColumns({"iscrowd": crowd.cast("int")} | wide("x", "w") | wide("y", "h"))
+        return materialize(sized.withColumn("area", F.col("w") * F.col("h")))
+
+    @cached_property
+    def crowd_cache(self) -> DataFrame:
+        return materialize(precision.match_cache(self.crowds, self.dets["a"], hot=self.hot))
+
     @cached_property
     def pairs(self) -> dict[str, DataFrame]:
         """Overlapping object-detection pairs: one image join per detector, for status and false positives."""

@@ -28,6 +28,12 @@ def iou(ax, ay, aw, ah, bx, by, bw, bh) -> Column:
     return F.when(union > 0, inter / union).otherwise(F.lit(0.0))
 
 
+def cover(ax, ay, aw, ah, bx, by, bw, bh) -> Column:
+    """Part of the second box that the first covers, 0 when the second is empty."""
+    own = box_area(bw, bh)
+    return F.when(own > 0, intersection(ax, ay, aw, ah, bx, by, bw, bh) / own).otherwise(F.lit(0.0))
+
+
 def scale_of(area: Column) -> Column:
     return (
         F.when(area < K.SMALL_AREA, F.lit("small"))

@@ -1,5 +1,8 @@
 """Average precision and recall of the public box-detection protocol.
 
+Crowd objects follow its rules: they are ignored ones, their overlap is measured by the
+detection's own area, and any number of detections may match one.
+
 One fold per (image, class) matches at ten IoU thresholds and four area ranges and
 returns two 40-bit masks per detection, so the cache has one narrow row per
 detection. Forty pairs of running sums then share one sort per (group, class,
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from boxwise import constants as K
+from boxwise.functions.geometry import cover
 from boxwise.operators.matching import _box_join, _object_side, _pair_iou, hot_images, iou_pairs, topk_detections
 from boxwise.operators.ranking import order_bucket, running_sums
 from boxwise.operators.risk import MACRO_SUBSETS
@@ -27,6 +31,15 @@ _AREA_BOUNDS = ((0.0, 1e10), (0.0, 1024.0), (1024.0, 9216.0), (9216.0, 1e10))
 _EPS = 2.220446049250313e-16
 
 
+def _crowd(objects: DataFrame) -> Column:
+    """Whether an object is a crowd; a missing or null mark says no."""
+    return F.coalesce(F.col("iscrowd") == 1, F.lit(False)) if "iscrowd" in objects.columns else F.lit(False)
+
+
+def _pair_cover() -> Column:
+    return cover(*[F.col(f"g{c}") for c in "xywh"], *[F.col(f"d{c}") for c in "xywh"])
+
+
 def _outside_mask(area: Column, crowd: Column | None = None) -> Column:
     """Bit k is set when the box does not count in area range k."""
     mask = F.lit(0)
@@ -56,12 +69,12 @@ def _masks(groups: DataFrame) -> DataFrame:
     """(image_id, prediction_index, tp, matched_ignored) bits from the pairs of each group.
 
     A pair whose detection and object meet nobody else matches at every threshold its
-    IoU reaches (``n`` of them). Contested pairs are folded once per distinct ``n``, as
+    IoU reaches (``n`` of them); a crowd object (``c``) is never taken. Contested pairs are folded once per distinct ``n``, as
     the thresholds between two of them see the same pairs, and once for all areas when
     their objects lie in the same ranges.
     """
     areas = range(len(K.AREA_RANGES))
-    contested = "exists(pairs, m -> (m.p = q.p) <> (m.a = q.a))"
+    contested = "exists(pairs, m -> (m.p = q.p AND m.a <> q.a) OR (m.a = q.a AND m.p <> q.p AND NOT q.c))"
 
     def bits(flag: int, mask: str, chosen: str) -> str:
         return " + ".join(
@@ -85,10 +98,10 @@ def _masks(groups: DataFrame) -> DataFrame:
         """IF(forall(rest, q -> q.g = get(rest, 0).g), array(struct(-1 AS k, 15 AS areas)),
            array(struct(0 AS k, 1 AS areas), struct(1 AS k, 2 AS areas), struct(2 AS k, 4 AS areas), struct(3 AS k, 8 AS areas))) AS variants""",
     )
-    ordered = "array_sort(transform(rest, q -> struct(q.r, IF(v.k < 0, 0, shiftright(q.g, v.k) & 1) AS f, q.i, q.a, q.p, q.g, q.n)))"
+    ordered = "array_sort(transform(rest, q -> struct(q.r, IF(v.k < 0, 0, shiftright(q.g, v.k) & 1) AS f, q.i, q.a, q.p, q.g, q.n, q.c)))"
     mask = f"({below('l')} - {below('IF(j = 0, 0, get(levels, j - 1))')})"
     chosen = """aggregate(filter(s, q -> q.n >= l), slice(s, 1, 0),
-        (acc, q) -> IF(exists(acc, m -> m.a = q.a OR m.p = q.p), acc, array_append(acc, q)))"""
+        (acc, q) -> IF(exists(acc, m -> (m.a = q.a AND NOT q.c) OR m.p = q.p), acc, array_append(acc, q)))"""
     fold = f"""flatten(transform(variants, v -> flatten(transform(array({ordered}), s ->
         flatten(transform(levels, (l, j) -> transform({chosen}, q -> {row(mask, 'v.areas')})))))))"""
     rows = split.selectExpr("image_id", f"inline(IF(size(rest) = 0, alone, concat(alone, {fold})))")
@@ -106,15 +119,15 @@ def match_cache(
     """One row per kept detection: rank, score and 40-bit masks ``tp`` and ``ignored``.
 
     Bit ``area * 10 + threshold``. A later object wins equal IoU, an object inside the
-    area range wins over one outside. Objects flagged ``iscrowd`` are ignored ones.
+    area range wins over one outside. Objects flagged ``iscrowd`` are ignored ones that
+    many detections may match, by the part of the detection that they cover.
     """
     cut = ranked_detections(dets, max_dets)
     if isinstance(hot, str):
         hot = hot_images(objects, cut)
-    crowd = F.col("iscrowd") == 1 if "iscrowd" in objects.columns else None
-    gt = objects.withColumn("g", _outside_mask(F.col("area"), crowd))
-    pairs = _box_join(_object_side(gt, ["g"]), _with_rank(cut), True, hot, "inner")
-    pairs = pairs.withColumn("iou", _pair_iou()).where(F.col("iou") >= min(K.IOU_THRESHOLDS))
+    gt = objects.withColumns({"g": _outside_mask(F.col("area"), _crowd(objects)), "c": _crowd(objects)})
+    pairs = _box_join(_object_side(gt, ["g", "c"]), _with_rank(cut), True, hot, "inner")
+    pairs = pairs.withColumn("iou", F.when(F.col("c"), _pair_cover()).otherwise(_pair_iou())).where(F.col("iou") >= min(K.IOU_THRESHOLDS))
     # At most max_dets detections share a group, so a detection never needs more than
     # its max_dets best objects of each area class: the cut is exact.
     best = W.partitionBy("image_id", "prediction_index", "g").orderBy(F.desc("iou"), F.desc("annotation_id"))
@@ -125,6 +138,7 @@ def match_cache(
         (-F.col("annotation_id")).alias("a"),
         F.col("prediction_index").alias("p"),
         F.col("g"),
+        F.col("c"),
         F.expr(" + ".join(f"CAST(iou >= {t!r}D AS INT)" for t in K.IOU_THRESHOLDS)).alias("n"),
     )
     groups = pairs.groupBy("image_id", "gt_category_id").agg(F.collect_list(item).alias("pairs"))
@@ -155,8 +169,7 @@ def _with_rank(cut: DataFrame) -> DataFrame:
 
 def object_counts(objects: DataFrame) -> DataFrame:
     """Counted objects per (image, class) and area range: g0..g3."""
-    crowd = F.col("iscrowd") == 1 if "iscrowd" in objects.columns else None
-    mask = objects.select("image_id", "category_id", _outside_mask(F.col("area"), crowd).alias("m"))
+    mask = objects.select("image_id", "category_id", _outside_mask(F.col("area"), _crowd(objects)).alias("m"))
     return mask.groupBy("image_id", "category_id").agg(
         *[F.count_if(F.shiftright(F.col("m"), k) % 2 == 0).alias(f"g{k}") for k in range(4)]
     )
