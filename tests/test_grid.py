@@ -64,3 +64,33 @@ def test_context_counts_objects_off_the_crop(spark):
         assert c.retained_neighbor_count == sum(n.retained for n in own) and c.boundary_clipped_objects == sum(n.clipped for n in own)
         assert c.crop_object_count == sum(n.supervised for n in every if n.annotation_id == a)
     assert len(got) == 20
+
+
+def test_classes_of_a_dense_image_need_no_parts(spark, monkeypatch):
+    """Groups of a size that one task may go through aren't cut into connected parts first."""
+    monkeypatch.setattr(M, "connected", None)
+    r = random.Random(6)
+    gt = [(i, 100 * i + k, r.choice([1, 2]), r.uniform(0, 90), r.uniform(0, 90), r.choice([10.0, 30.0]), 20.0) for i in range(3) for k in range(60)]
+    ds = [(g[0], k, g[2], g[3] + r.uniform(-4, 4), g[4] + r.uniform(-4, 4), g[5], g[6], r.choice([0.3, 0.5, 0.9])) for k, g in enumerate(gt + gt)]
+    o, d = frames(spark, gt, ds)
+    assert pairs(M.greedy_match(o, d, 0.3, hot=o.select("image_id").distinct())) == greedy(gt, ds, 0.3)
+
+
+@pytest.mark.parametrize("least", [0.3, 0.5, 0.999])
+def test_least_overlap_loses_no_pair(spark, least):
+    """With a least IoU boxes of too unlike sizes don't meet; all that reach it do."""
+    r = random.Random(7)
+    a = [(0, i, r.uniform(0, 60), r.uniform(0, 60), r.choice([8.0, 16.0, 17.0, 64.0]), r.choice([8.0, 16.0, 33.0])) for i in range(150)]
+    b = [(0, i, x + r.choice([0.0, 1.0, 3.0]), y, w * r.choice([1.0, 0.5, 2.0, 0.3]), h) for _, i, x, y, w, h in a]
+
+    def like(p, q):
+        w = min(p[2] + p[4], q[2] + q[4]) - max(p[2], q[2])
+        h = min(p[3] + p[5], q[3] + q[5]) - max(p[3], q[3])
+        return w * h / (p[4] * p[5] + q[4] * q[5] - w * h) if w > 0 and h > 0 else 0.0
+
+    left = spark.createDataFrame(a, "image_id long, i long, gx double, gy double, gw double, gh double")
+    right = spark.createDataFrame(b, "_image long, j long, dx double, dy double, dw double, dh double")
+    got = [(x.i, x.j) for x in G.overlap_join(left, right, "g", "d", min_iou=least).collect()]
+    want = {(p[1], q[1]) for p in a for q in b if like(p, q) >= least}
+    assert len(got) == len(set(got)) and want and want <= set(got)
+    assert len(got) < G.overlap_join(left, right, "g", "d").count() / 2
