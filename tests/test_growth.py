@@ -1,10 +1,17 @@
 """What must not grow faster than the tables: measures in join conditions, rows dealt twice, tables nobody asked for."""
 
+import random
 import re
 
+from pyspark.sql import functions as F
+
 from boxwise.catalog.views import Each
 from boxwise.operators import breakdown as B
+from boxwise.operators import crops as CR
+from boxwise.operators import grid as G
 from boxwise.operators import matching as M
+from boxwise.operators import ranking as RK
+from boxwise.operators import risk as RI
 from tests.test_matching import frames, pairs, scene
 
 
@@ -52,3 +59,49 @@ def test_failure_rates_deal_rows_by_image_only(spark):
         assert got == {k: (len(s), *rest) for k, (s, *rest) in want.items()}
         dealt = re.findall(r"Exchange hashpartitioning\((.*?)\)", rates._jdf.queryExecution().executedPlan().toString())
         assert dealt and not any("group_value" in keys and "image_id" in keys for keys in dealt)
+
+
+def test_risk_deals_objects_by_value_once(spark):
+    rows = [(i, i % 5, 1 + i % 3, "small", i % 4 > 0, i % 3 > 0, (i % 7) / 7, (i % 4) / 4 if i % 6 else None) for i in range(80)]
+    wide = spark.createDataFrame(rows, "annotation_id long, image_id long, category_id int, scale string, a_detected boolean, b_detected boolean, s double, t double")
+    names = {f"{m}_{n}": c for m, c in (("a", "s"), ("b", "t")) for n in ("matched_score", "matched_iou", "best_same_all_score", "best_same_all_iou")}
+    wide = wide.withColumns({n: F.col(c) for n, c in names.items()})
+    risk = RI.risk_table(wide, {"a": 0.2, "b": 0.3}, keep=["annotation_id", "category_id"])
+    assert "a_matched_score" not in risk.columns
+    assert len(re.findall(r"Join LeftOuter, .*zero\(joint_raw_risk#\d+\)\) = ", plan(risk))) == 1
+    once = risk.drop("global_percentile", "class_percentile")
+    for name, by in (("global_percentile", []), ("class_percentile", ["category_id"])):
+        want = RK.mid_percentile(once, "joint_raw_risk", by, name).select("annotation_id", name)
+        assert sorted(map(tuple, want.collect())) == sorted(map(tuple, risk.select("annotation_id", name).collect()))
+
+
+def test_percentiles_of_nulls_stay_null(spark):
+    df = spark.createDataFrame([(1, "x", 1.0), (2, "x", 1.0), (3, "y", 2.0), (4, "y", None)], "i int, k string, v double")
+    got = {r.i: (r.all, r.own) for r in RK.mid_percentiles(df, "v", {"all": [], "own": ["k"]}).collect()}
+    assert got == {1: (0.25, 0.5), 2: (0.25, 0.5), 3: (1.0, 0.5), 4: (None, None)}
+
+
+def crops_and_objects(spark):
+    r = random.Random(9)
+    box = lambda low, high: (r.uniform(0, 900), r.uniform(0, 500), r.uniform(low, high), r.uniform(low, high))
+    objects = spark.createDataFrame([(i % 3, i, 1, *box(6, 80)) for i in range(90)], "image_id long, annotation_id long, category_id int, x double, y double, w double, h double")
+    crops = spark.createDataFrame([(3 * k, 3 * k % 3, *box(200, 600)) for k in range(30)], "annotation_id long, image_id long, crop_x0 double, crop_y0 double, crop_width double, crop_height double")
+    return crops, objects
+
+
+def test_crops_of_plain_images_need_no_grid(spark, monkeypatch):
+    crops, objects = crops_and_objects(spark)
+    seen = lambda: sorted((n.annotation_id, n.object_id, n.visible) for n in CR.crop_neighbours(crops, objects, overlapping=True).collect())
+    with monkeypatch.context() as m:
+        m.setattr(CR, "overlap_join", None)
+        plain = seen()
+    monkeypatch.setattr(CR, "hot_images", lambda a, b: M.hot_images(a, b, 25))
+    assert plain == seen() == sorted((n.annotation_id, n.object_id, n.visible) for n in CR.crop_neighbours(crops, objects).where("NOT removed").collect())
+
+
+def test_boxes_lie_on_levels_of_the_other_side_only(spark):
+    crops, objects = crops_and_objects(spark)
+    small = objects.select("image_id", *[F.col(c).alias(f"o{c}") for c in "xywh"])
+    levels = spark.createDataFrame([(i, [6, 7]) for i in range(3)], "_at_image long, there array<int>")
+    got = G._on_levels(small, "image_id", "o", levels, "there", None)
+    assert {r._oat for r in got.select("_oat").distinct().collect()} == {6, 7}
