@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +88,36 @@ def test_bootstrap_evidence_equals_plain_sums(spark):
         if d.metric in ("AP50", "AP75"):
             cell = 0 if d.metric == "AP50" else 5
             assert abs(d.delta - (ap("b", d.replicate, cell) - ap("a", d.replicate, cell))) < 1e-9
+
+
+def test_weight_table_by_array(spark):
+    """An image's weights are laid into its array in one pass, without a lookup per column; columns of other batches are left out."""
+    rows = [(7, 10, 3), (7, 12, 1), (8, 11, 2), (8, 9, 5), (9, 13, 4)]
+    df = spark.createDataFrame(rows, "image_id long, replicate int, weight long")
+    table = Wt.weight_table(df, "replicate", 3, 10)
+    assert {r.image_id: list(r.weights) for r in table.collect()} == {7: [3, 0, 1], 8: [0, 2, 0], 9: [0, 0, 0]}
+    assert "map_from_entries" not in table._jdf.queryExecution().optimizedPlan().toString()
+    assert table.schema["weights"].dataType.simpleString() == "array<smallint>" and Wt.weight_table(df.limit(0), "replicate", 3).count() == 0
+
+
+def test_curve_points_count_only_what_is_not_ignored():
+    rng = np.random.default_rng(3)
+    n, width = 400, 5
+    w = rng.integers(0, 3, (width, n)).astype(np.int32)
+    tp = rng.integers(0, 1 << Wt.CELLS, n) & rng.integers(0, 1 << Wt.CELLS, n)
+    ignored = rng.integers(0, 1 << Wt.CELLS, n) & ~tp & ~((1 << Wt.THRESHOLDS) - 1)
+    before = rng.integers(0, 50, (2, Wt.CELLS, width)).astype(float)
+    gt = rng.integers(0, 2, (Wt.AREAS, width)) * 900.0
+    place, best = Wt.curve_points(w, tp, ignored, before, gt)
+    want = {}
+    for c in range(Wt.CELLS):
+        for k in range(width):
+            if gt[c // Wt.THRESHOLDS, k] > 0:
+                t = np.cumsum(w[k] * ((tp >> c) & 1)) + before[0, c, k]
+                m = np.cumsum(w[k] * (1 - ((ignored >> c) & 1))) + before[1, c, k]
+                for i in np.flatnonzero((tp >> c) & 1):
+                    recall = t[i] / gt[c // Wt.THRESHOLDS, k]
+                    level = max(j for j in range(-1, 101) if j * 0.01 <= recall)
+                    at = (c * width + k) * Wt.LEVELS + level
+                    want[at] = max(want.get(at, 0), t[i] / (m[i] + Wt.EPS))
+    assert dict(zip(place.tolist(), best.tolist())) == want
