@@ -106,3 +106,22 @@ def test_boxes_lie_on_levels_of_the_other_side_only(spark):
     levels = spark.createDataFrame([(i, [6, 7]) for i in range(3)], "_at_image long, there array<int>")
     got = G._on_levels(small, "image_id", "o", levels, "there", None)
     assert {r._oat for r in got.select("_oat").distinct().collect()} == {6, 7}
+
+
+def test_best_candidates_group_pairs_not_objects(spark):
+    """Every object meets one row of its best detections; objects and what they carry are no groups of the pairs."""
+    o, d = frames(spark, *scene(5))
+    o = o.withColumn("scale", F.lit("small"))
+    pairs = M.iou_pairs(o, d, 0.0, False, None)
+    best = M.best_candidates(o, d, 0.3, None, ["scale"], pairs)
+    grouped = re.findall(r"Aggregate \[(.*?)\]", plan(best))
+    assert grouped and not any("scale" in keys for keys in grouped)
+    assert best.count() == o.count()
+    assert sorted(map(str, best.collect())) == sorted(map(str, M.best_candidates(o, d, 0.3, None, ["scale"]).collect()))
+
+
+def test_class_sizes_are_counted_without_ranks(spark):
+    """Two windows for each of the two percentiles of the risk table, and none for the sizes of the classes."""
+    columns = {f"{m}_{n}": F.col("id") % 7 / 7.0 for m in "ab" for n in ("matched_score", "matched_iou", "best_same_all_score", "best_same_all_iou")}
+    wide = spark.range(40).withColumns({"a_detected": F.col("id") % 2 == 0, "b_detected": F.col("id") % 3 == 0, "category_id": F.col("id") % 4} | columns)
+    assert len(re.findall(r"Window \[", plan(RI.risk_table(wide, {"a": 0.2, "b": 0.3})))) == 4
