@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from boxwise import session
 from boxwise.catalog import views as V
 from boxwise.operators import matching as M
+from boxwise.operators import precision as P
 from boxwise.operators import risk as RI
 from tests.test_matching import frames, scene
 
@@ -81,3 +82,11 @@ def test_views_keep_no_pairs_that_nobody_asked_for(spark, folder):
     kept = {re.search(r"boxwise-\w+", p)[0] for p in known if p not in before}
     read = {re.search(r"boxwise-\w+", p)[0] for df in (v.risk, v.outcomes, v.objects) for p in paths(df)}
     assert kept == read and not v.pairs and not v.status
+
+
+def test_match_cache_is_made_in_steps(spark):
+    """Ranks, pairs and masks are written, so the last step is one join of what stands."""
+    o, d = frames(spark, *scene(12))
+    o = o.withColumn("area", F.col("w") * F.col("h"))
+    plan = P.match_cache(o, d, hot=None)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan and plan.count("Join ") == 1
